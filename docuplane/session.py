@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +29,21 @@ def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "docuplan
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once for each Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_docuplane_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    work = tempfile.mkdtemp(prefix="docuplane-package-")  # fetched by each executor when it starts, so it stays until the end
+    atexit.register(shutil.rmtree, work, ignore_errors=True)
+    shutil.copytree(root, f"{work}/tree/{root.name}", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{work}/{root.name}", "zip", f"{work}/tree"))
+    context._docuplane_shipped = True
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
