@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docuplane.functions.normal import label_name
 from docuplane.llm.neardup import NearDuplicates, Signature, all_pairs, group_ids, near_duplicates
 from docuplane.llm.overlap import cross_split_overlap
+from docuplane.llm.pagenoise import page_defects, repaired_pages
 from docuplane.llm.shingles import exact_jaccard
 from docuplane.session import read_table
 
@@ -60,5 +61,14 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return placed.join(agency, "doc_id", "left").join(leaked, "page_id", "left").groupBy("split", "agency").agg(F.count(F.lit(1)).alias("n_pages"), F.count("leaked").alias("n_leaked"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_defects(read_table(spark, d, "page_texts"))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as continuous paragraphs, in both views."""
+    return repaired_pages(read_table(spark, d, "page_texts"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_repaired": p6_repaired}
 SQL: dict = {}
