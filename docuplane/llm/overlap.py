@@ -7,8 +7,9 @@ make a record's overlap fraction.
 
 Frequent chunks (boilerplate) would pair everything with everything. The index
 therefore takes a record's chunks from the rarest on, and leaves out the most frequent
-ones as long as their total length stays below ``min_overlap`` of the record: a pair
-that reaches the fraction must share one of the others, so nothing is lost.
+ones as long as their total length stays below ``min_overlap`` of the record: of all
+chunks two records share the rarest is then in the index of both, so no pair that
+reaches the fraction is lost.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ def _chunks(mask: int, shortest: int, min_words: int):
                 if ident is None or len(words) < max(1, min_words):
                     continue
                 digests, lengths = chunk_record(words, mask, shortest)
-                for out, x in zip(rows, (ident, len(words), digests.view(np.int64), lengths)):
+                distinct, place = np.unique(digests, return_inverse=True)
+                for out, x in zip(rows, (ident, len(words), distinct.view(np.int64), np.bincount(place, lengths).astype(np.int32))):
                     out.append(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int32()))],
@@ -74,34 +76,39 @@ def _chunks(mask: int, shortest: int, min_words: int):
     return run
 
 
-def cross_split_overlap(records: DataFrame, *, id_col: str = "id", text_col: str = "text", side_col: str = "side", min_overlap: float = 0.1, mask: int = 3, shortest: int = 3, min_words: int = 1) -> DataFrame:
+def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "id", text_col: str = "text", min_overlap: float = 0.2, mutual: bool = True, mask: int = 3, shortest: int = 3, min_words: int = 1) -> DataFrame:
     """``id_a, id_b, overlap_a, overlap_b``: records of side ``a`` and of side ``b`` that
-    share chunks of at least ``min_overlap`` of the record of side ``b``.
-
-    ``side_col`` is 'a' or 'b'; a record may be on both and is then never paired with
-    itself. A fraction is the total length of the record's chunks found in the other
-    record, over its words. Records without words, an id or a side have no pairs;
-    repeated rows count once; texts are read whole; an empty side gives no rows.
+    share chunks of at least ``min_overlap`` of the record of side ``b``, and of that of
+    side ``a`` too unless ``mutual`` is off.
+
+    ``records`` has a unique id and a text, ``sides`` an ``id`` and a ``side``, 'a' or
+    'b'; a record may be on both and is then never paired with itself. A fraction is
+    the total length of the record's chunks found in the other record, over its words.
+    Records without words, an id or a side have no pairs; repeated rows of ``sides``
+    count once; texts are read whole; an empty side gives no rows. The texts themselves
+    are never shuffled.
     """
-    sides = records.select(F.col(id_col).cast("long").alias("id"), F.col(side_col).alias("side")).where(F.col("side").isin("a", "b")).distinct()
-    texts = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col(side_col).isin("a", "b")).dropDuplicates(["id"])
-    table = stage_table(texts.mapInArrow(_chunks(mask, shortest, min_words), "id long, n_words int, digests array<long>, lengths array<int>"), "chunks")
-    rows = sides.join(table, "id")
-    each = rows.select("id", "side", "n_words", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("id", "side", "n_words", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
-    each = each.groupBy("digest", "side", "id").agg(F.first("n_words").alias("n_words"), F.sum("length").alias("length"))
+    placed = sides.select(F.col("id").cast("long").alias("id"), "side").where(F.col("side").isin("a", "b")).distinct()
+    texts = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    table = texts.mapInArrow(_chunks(mask, shortest, min_words), "id long, n_words int, digests array<long>, lengths array<int>")
+    each = placed.join(table, "id").select("id", (F.col("side") == "a").alias("a"), "n_words", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("id", "a", "n_words", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
     same = W.partitionBy("digest")
-    shared = each.withColumns({"na": F.count(F.when(F.col("side") == "a", 1)).over(same), "nb": F.count(F.when(F.col("side") == "b", 1)).over(same)}).where("na > 0 AND nb > 0")
+    shared = each.withColumns({"na": F.count_if("a").over(same), "nb": F.count_if(~F.col("a")).over(same)}).where("na > 0 AND nb > 0")
     shared = stage_table(shared, "shared-chunks")
-    rarest = W.partitionBy("id").orderBy("na", "digest").rowsBetween(0, W.unboundedFollowing)
-    b = shared.where("side = 'b'").withColumn("rest", F.sum("length").over(rarest)).where(F.col("rest") >= min_overlap * F.col("n_words")).select("digest", F.col("id").alias("id_b"))
-    a = shared.where("side = 'a'").select("digest", F.col("id").alias("id_a"))
+    # one order of all chunks for both sides, from the rarest on
+    rarest = W.partitionBy("id", "a").orderBy(F.col("na") + F.col("nb"), "digest").rowsBetween(0, W.unboundedFollowing)
+    indexed = shared.withColumn("rest", F.sum("length").over(rarest)).where((F.col("rest") >= min_overlap * F.col("n_words")) | (F.col("a") if not mutual else F.lit(False)))
+    b = indexed.where(~F.col("a")).select("digest", F.col("id").alias("id_b"))
+    a = indexed.where("a").select("digest", F.col("id").alias("id_a"))
     met = a.join(b, "digest").where("id_a <> id_b").select("id_a", "id_b").distinct()
-    chunks = table.select("id", "n_words", "digests", "lengths")
-    ca, cb = (chunks.select(F.col("id").alias(f"id_{s}"), F.col("n_words").alias(f"n_{s}"), F.arrays_zip("digests", "lengths").alias(f"c_{s}"), F.col("digests").alias(f"d_{s}")) for s in "ab")
+    # a record's chunks that both sides have; no more than the record has chunks
+    own = shared.groupBy("id", "digest").agg(F.first("n_words").alias("n_words"), F.first("length").alias("length"))
+    own = own.groupBy("id").agg(F.first("n_words").alias("n"), F.collect_list("digest").alias("d"), F.collect_list(F.struct("digest", "length")).alias("c"))
+    ca, cb = (own.select(*[F.col(x).alias(f"{x}_{s}") for x in ("id", "n", "d", "c")]) for s in "ab")
     both = met.join(ca, "id_a").join(cb, "id_b")
 
-    def fraction(own: str, other: str):
-        total = F.aggregate(F.filter(f"c_{own}", lambda c: F.array_contains(F.col(f"d_{other}"), c["digests"])), F.lit(0).cast("long"), lambda s, c: s + c["lengths"])
-        return total / F.col(f"n_{own}")
+    def fraction(of: str, other: str):
+        total = F.aggregate(F.filter(f"c_{of}", lambda c: F.array_contains(F.col(f"d_{other}"), c["digest"])), F.lit(0), lambda t, c: t + c["length"])
+        return total / F.col(f"n_{of}")
 
-    return both.select("id_a", "id_b", fraction("a", "b").alias("overlap_a"), fraction("b", "a").alias("overlap_b")).where(F.col("overlap_b") >= min_overlap)
+    return both.select("id_a", "id_b", fraction("a", "b").alias("overlap_a"), fraction("b", "a").alias("overlap_b")).where((F.col("overlap_b") >= min_overlap) & ((F.col("overlap_a") >= min_overlap) | F.lit(not mutual)))

@@ -34,17 +34,17 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_pages(pages: DataFrame, splits: DataFrame) -> DataFrame:
-    """``page_id, text_plain, doc_id, split, side``: side a is train, b is evaluation."""
+    """``page_id, doc_id, split, side``: side a is train, b is evaluation."""
     frozen = splits.select("doc_id", label_name(F.col("split")).alias("split")).dropna().distinct()
     frozen = frozen.withColumn("side", F.when(F.col("split") == "train", "a").when(F.col("split").isin("dev", "test", "holdout"), "b")).where(F.col("side").isNotNull())
-    return pages.select("page_id", "text_plain", "doc_id").join(frozen, "doc_id")
+    return pages.select("page_id", "doc_id").join(frozen, "doc_id")
 
 
 def leaked_pages(spark: SparkSession, d: str) -> DataFrame:
     """``id_a`` of a train page, ``id_b`` of an evaluation page, nearly the same."""
     pages = read_table(spark, d, "page_texts")
-    placed = split_pages(pages, read_table(spark, d, "doc_splits"))
-    found = cross_split_overlap(placed, id_col="page_id", text_col="text_plain", side_col="side", min_overlap=0.1, min_words=PAGE_SHAPE.min_words)
+    sides = split_pages(pages, read_table(spark, d, "doc_splits")).select(F.col("page_id").alias("id"), "side")
+    found = cross_split_overlap(pages, sides, id_col="page_id", text_col="text_plain", min_overlap=0.2, min_words=PAGE_SHAPE.min_words)
     return exact_jaccard(found, pages.select(F.col("page_id").alias("id"), F.col("text_plain").alias("text")), PAGE_SHAPE.width).where(F.col("jaccard") >= PAGE_THRESHOLD)
 
 
