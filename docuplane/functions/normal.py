@@ -68,6 +68,12 @@ def month_key(c: Column) -> Column:
     return F.when((F.length(y) == 4) & m.between(1, 12), F.concat(y, F.lit("-"), F.lpad(m.cast("string"), 2, "0")))
 
 
+def named_month(c: Column) -> Column:
+    """``YYYY-MM`` of a month name and a year, such as 'Oct. 2022'; null for no real month."""
+    month = F.try_element_at(_month_numbers(), F.lower(F.regexp_extract(c, "([A-Za-z]{3,9})", 1)))
+    return F.concat(F.regexp_extract(c, r"((?:19|20)\d{2})\s*$", 1), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
+
+
 def loose_text(c: Column) -> Column:
     """Text without what does not count in a comparison: case, blanks, the kind of
     hyphen and closing full stops. Null and empty are both the empty string."""
