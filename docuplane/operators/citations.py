@@ -64,12 +64,12 @@ def number_matches(pages: DataFrame, text: str = "text_layout") -> DataFrame:
     lines = lines.withColumn("_len", share)
     rows = lines.select("*", F.posexplode("_seg").alias("match_no", "_s")).where("match_no > 0")
     g = F.split("_s", _SEP)
-    full = F.split(F.element_at(g, 5), _CLOSE)
+    full = F.split(F.get(g, F.lit(4)), _CLOSE)
     before = F.aggregate(F.slice("_len", F.lit(1), F.col("match_no")), F.lit(0), lambda a, x: a + x)
     rows = rows.select(
         "page_id", "doc_id", "page", "line_no", "line", "following", "line_start", "match_no",
-        F.when(g[0] != "", g[0]).alias("prefix"), g[1].alias("part"), g[2].alias("section"), F.when(g[3] != "", g[3]).alias("suffix"),
-        before.alias("match_start"), F.element_at(full, 1).alias("match"), F.coalesce(F.get(full, F.lit(1)), F.lit("")).alias("rest"),
+        F.when(F.get(g, F.lit(0)) != "", F.get(g, F.lit(0))).alias("prefix"), F.get(g, F.lit(1)).alias("part"), F.get(g, F.lit(2)).alias("section"), F.when(F.get(g, F.lit(3)) != "", F.get(g, F.lit(3))).alias("suffix"),
+        before.alias("match_start"), F.get(full, F.lit(0)).alias("match"), F.coalesce(F.get(full, F.lit(1)), F.lit("")).alias("rest"),
     )
     lead = F.length(F.regexp_extract("match", r"(?i)^([A-Za-z]*\s*)", 1))
     return rows.withColumn("start", F.col("match_start") + lead).withColumn("end", F.col("match_start") + F.length("match"))
@@ -137,8 +137,9 @@ def mentions(pages: DataFrame, registry: DataFrame | None = None, text: str = "t
 
 def _range_copies(base: DataFrame) -> DataFrame:
     """The numbers between the ends of a range, and its end where that is abbreviated."""
-    b, s, e = (found(F.col("rest"), P.RANGE, i) for i in (1, 2, 3))
-    r = base.where(F.col("suffix").isNotNull()).withColumns({"_b": b, "_sec": s, "_lo": F.col("suffix").cast("int"), "_hi": e.cast("int"), "_n": F.length(F.regexp_extract("rest", P.RANGE, 0))})
+    tail = F.expr("substring(line, `end` + 1, length(line))")  # an end written out is the next match, so the segment does not reach it
+    b, s, e = (found(tail, P.RANGE, i) for i in (1, 2, 3))
+    r = base.where(F.col("suffix").isNotNull()).withColumns({"_b": b, "_sec": s, "_lo": F.col("suffix").cast("int"), "_hi": e.cast("int"), "_n": F.length(F.regexp_extract(tail, P.RANGE, 0))})
     r = r.where(F.col("_hi").isNotNull() & (F.col("_b").isNull() | ((F.col("_b") == F.col("part")) & (F.col("_sec") == F.col("section")))) & (F.col("_lo") < F.col("_hi")) & (F.col("_hi") <= F.col("_lo") + MAX_RANGE))
     last = F.when(F.col("_b").isNotNull(), F.col("_hi") - 1).otherwise(F.col("_hi"))
     r = r.withColumn("_last", last).where("_last > _lo")
