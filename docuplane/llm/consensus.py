@@ -2,8 +2,9 @@
 
 Each round alternates a weighted consensus of every item with a leave-one-out
 estimate of every annotator's accuracy: a vote is held against the consensus of the
-item's other votes only. Accuracies are smoothed towards the mean of all annotators
-and turned into log-odds weights. A round is one window over the item and one
+item's other votes only, and what that consensus' own doubt takes from the agreement is
+given back. Accuracies are smoothed towards the mean of all annotators and turned into
+log-odds weights. A round is one window over the item and one
 aggregate over the annotator, both distributed; an annotator's or an item's votes are
 never gathered, and only one number, the largest change, reaches the driver.
 """
@@ -78,17 +79,19 @@ def weighted_consensus(votes: DataFrame, labels: tuple[str, ...], *, smoothing:
     for _ in range(max_rounds):
         scored = _scores(votes.where("n > 1"), people, labels)
         others = _softmax([F.col(f"_s{i}") - F.when(F.col("label") == x, F.col("weight")).otherwise(0.0) + prior[i] for i, x in enumerate(labels)])
-        credit = F.coalesce(*[F.when(F.col("label") == x, others[i]) for i, x in enumerate(labels)])
-        held = scored.groupBy("annotator").agg(F.sum(credit).alias("_c"), F.count(F.lit(1)).alias("_n"))
-        mean = held.agg((F.sum("_c") / F.sum("_n")).alias("m"))
-        mean_value = mean.first()["m"]
-        mean_value = start if mean_value is None else mean_value
+        met = F.coalesce(*[F.when(F.col("label") == x, others[i]) for i, x in enumerate(labels)])
+        sure = sum((p * p for p in others[1:]), others[0] * others[0])
+        by_chance = (1 - sure) / F.lit(float(k - 1))
+        # what a vote adds above the chance to meet a doubtful consensus, and what a perfect annotator's would
+        held = scored.groupBy("annotator").agg(F.sum(met - by_chance).alias("_c"), F.sum(sure - by_chance).alias("_n"))
+        totals = held.agg(F.sum("_c").alias("c"), F.sum("_n").alias("n")).first()
+        mean_value = totals["c"] / totals["n"] if totals["n"] else start
         updated = (
             people.join(held, "annotator", "left")
             .select(
                 "annotator",
                 F.col("reliability").alias("_before"),
-                ((F.coalesce("_c", F.lit(0.0)) + smoothing * mean_value) / (F.coalesce("_n", F.lit(0)) + smoothing)).alias("reliability"),
+                F.least(F.greatest((F.coalesce("_c", F.lit(0.0)) + smoothing * mean_value) / (F.coalesce("_n", F.lit(0.0)) + smoothing), F.lit(0.0)), F.lit(1.0)).alias("reliability"),
                 "n_votes",
             )
             .withColumn("weight", weight(F.col("reliability")))

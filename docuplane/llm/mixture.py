@@ -75,7 +75,7 @@ def mixing_rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None
     shares = known.withColumn("share", F.when(usable, F.col("target_share") / F.sum(F.when(usable, F.col("target_share"))).over(every)))
     whole = F.lit(float(total_tokens)) if total_tokens is not None else F.min(F.col("max_repeats") * F.col("size") / F.col("share")).over(every)
     rate = F.least(F.col("max_repeats").cast("double"), F.col("share") * whole / F.col("size"))
-    return shares.select("source", "target_share", "share", "max_repeats", "size", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    return shares.select("source", "target_share", "share", "max_repeats", "size", F.when(F.col("share").isNotNull(), rate).otherwise(0.0).alias("rate"))
 
 
 def systematic_copies(counts: DataFrame, rates: DataFrame, *, seed: int = 7, buckets: int = 64) -> DataFrame:

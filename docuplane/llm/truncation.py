@@ -28,7 +28,7 @@ _VOID = frozenset({"br", "hr", "img", "input", "meta", "link", "wbr", "col", "ar
 _TERMINATED = re.compile(r"[.!?。！？…]['\"”’»)\]]*$")
 _ELLIPSIS = re.compile(r"\w\s?(?:\.\.\.|…)$")
 _BROKEN = re.compile(r"(?:�|[\ud800-\udbff]|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?\w{1,7}|%[0-9A-F]?|<[/a-zA-Z][^<>]{0,200}|=[0-9A-F]?=?)$")
-_AMPERSAND_WORD = re.compile(r"\w\s*&\w*$")
+_AMPERSAND_WORD = re.compile(r"\w&\w*$")
 _ITEM = re.compile(r"^\s*(?:\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}\)|[-–•*‣▪·o])\s+\S")
 _ROW = re.compile(r"^\s*\|.*\|$|^[^\t]*\t.*$")
 _OPEN_ROW = re.compile(r"^\s*\|.*[^|]$")
