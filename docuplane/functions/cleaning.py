@@ -92,6 +92,6 @@ def file_kind(content: Column) -> Column:
     """pdf, zip, doc or txt by the first bytes; null for none of them."""
     head = F.hex(F.substring(content, 1, 8))
     start = F.substring(content, 1, 2048)
-    text = F.decode(start, "ISO-8859-1")
-    printable = F.try_divide(F.length(F.regexp_replace(text, r"[^\x20-\x7e\xa1-\xff\r\n\t]", "")).cast("double"), F.length(text).cast("double")) > 0.95
+    text = F.when(F.is_valid_utf8(start.cast("string")), start.cast("string")).otherwise(F.decode(start, "ISO-8859-1"))
+    printable = F.try_divide(F.length(F.regexp_replace(text, r"[\p{C}&&[^\r\n\t]]", "")).cast("double"), F.length(text).cast("double")) > 0.95
     return F.when(head.startswith("255044462D"), "pdf").when(head.startswith("504B0304"), "zip").when(head == "D0CF11E0A1B11AE1", "doc").when((F.length(content) > 0) & ~text.contains("\x00") & printable, "txt")

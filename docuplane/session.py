@@ -60,6 +60,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def application_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder, deleted when it ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/docuplane-{context.applicationId}"
+    if getattr(context, "_docuplane_dir", None) != path:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        context._docuplane_dir = path
+    return path
+
+
 def stage_table(df: DataFrame, name: str, partitions_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
@@ -67,7 +80,7 @@ def stage_table(df: DataFrame, name: str, partitions_by: list[str] | None = None
     twice be computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partitions_by:
         writer = writer.partitionBy(*partitions_by)
