@@ -88,7 +88,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     ``doc_id`` is the first 16 digits of the content's SHA-256; a file stored twice
     gives its page twice, under one id. A file of an unknown kind, or one that
-    cannot be read, gives a row with an error and no text."""
+    cannot be read, gives a row with an error and no text; an empty file gives none."""
     ship_package(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     f = raw.select("path", "content", F.substring(F.sha2("content", 256), 1, 16).alias("doc_id"), file_kind(F.col("content")).alias("kind"))
