@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import importlib
-import importlib.util
 import sys
 from pathlib import Path
 
@@ -17,15 +16,16 @@ from docuplane.session import local_session, read_table
 from docuplane.sources.files import read_documents
 
 
-def _queries() -> dict:
-    names = ["docuplane.plans.registry_queries", "docuplane.plans.ledger_queries", "docuplane.plans.document_queries", "docuplane.plans.feature_queries"]
-    if importlib.util.find_spec("docuplane." + "llm"):
-        names.append("docuplane." + "llm" + ".catalog")
-    return {k: q for n in names for k, q in importlib.import_module(n).QUERIES.items()}
+CORE = ("docuplane.plans.registry_queries", "docuplane.plans.ledger_queries", "docuplane.plans.document_queries", "docuplane.plans.feature_queries")
+
+
+def _queries(modules: list[str]) -> dict:
+    return {k: q for n in (*CORE, *modules) for k, q in importlib.import_module(n).QUERIES.items()}
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="docuplane", description=__doc__)
+    p.add_argument("--queries", action="append", default=[], metavar="MODULE", help="a further module with QUERIES")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("list", help="names of all queries")
     run = sub.add_parser("query", help="run a query over a folder of tables")
@@ -40,14 +40,14 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--cpus", default="*")
     a = p.parse_args(argv)
     if a.command == "list":
-        print("\n".join(sorted(_queries())))
+        print("\n".join(sorted(_queries(a.queries))))
         return 0
-    if a.command == "query" and a.name not in _queries():
+    if a.command == "query" and a.name not in _queries(a.queries):
         print(f"no query {a.name}", file=sys.stderr)
         return 2
     spark = local_session(a.cpus)
     if a.command == "query":
-        df = _queries()[a.name](spark, a.tables)
+        df = _queries(a.queries)[a.name](spark, a.tables)
     elif a.command == "extract":
         df = read_documents(spark, a.source)
     elif a.command == "status":
