@@ -12,6 +12,7 @@ from docuplane.operators import acquisition as A
 from docuplane.operators import citations as T
 from docuplane.operators import ledger as L
 from docuplane.operators import registry as R
+from docuplane.operators import roles as B
 from docuplane.operators import sections as S
 from docuplane.plans.registry_queries import _NUMBER, P2_SQL, section_versions
 from docuplane.session import read_table
@@ -144,6 +145,29 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
     return L.context_window(T.page_lines(pages(spark, d)), 2, 1).select("page_id", "line_no", "context")
 
 
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    status = R.section_status(snapshots(spark, d)).select("number", "status")
+    return B.classified(T.mentions(pages(spark, d), status), S.section_labels(pages(spark, d)))
+
+
+@query()
+def b1_roles(spark: SparkSession, d: str) -> DataFrame:
+    """The role of each mention with its reason."""
+    return _classified(spark, d).select("cand_id", "number", "alternate", "section", "role", "confidence", "reason")
+
+
+@query()
+def b1_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """What each document binds by the rules."""
+    return L.binding_ledger(_classified(spark, d), F.col("role").isin(*B.BINDING), F.col("role") == "EXPLICITLY_EXCLUDED")
+
+
+@query("SELECT count(*) FILTER (label = 'T') AS typed_selected, count(*) FILTER (label = 'F') AS typed_blank FROM (SELECT CASE WHEN regexp_matches(line_text, '^\\s*(?:_*X{1,4}_*|\\[X\\])\\s*(?:\\(\\d{1,3}\\)|\\([A-Za-z]{1,4}\\)|FAR\\b)') THEN 'T' WHEN regexp_matches(line_text, '^\\s*(?:_{2,}|\\[\\s*\\])\\s*(?:\\(\\d{1,3}\\)|\\([a-z]{1,4}\\)|\\([ivx]+\\))') THEN 'F' END AS label FROM candidates)")
+def typed_boxes(spark: SparkSession, d: str) -> DataFrame:
+    state = B.typed_box(F.col("line_text"))
+    return read_table(spark, d, "candidates").agg(F.count_if(state == "CHECKLIST_SELECTED").alias("typed_selected"), F.count_if(state == "CHECKLIST_NOT_SELECTED").alias("typed_blank"))
+
+
 # ---- cleaning
 
 
