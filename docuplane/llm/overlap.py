@@ -15,6 +15,7 @@ reaches the fraction is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -59,39 +60,53 @@ def _chunks(mask: int, shortest: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = word_hashes(text, known)
                 if ident is None or len(words) < max(1, min_words):
                     continue
                 digests, lengths = chunk_record(words, mask, shortest)
                 distinct, place = np.unique(digests, return_inverse=True)
-                for out, x in zip(rows, (ident, len(words), distinct.view(np.int64), np.bincount(place, lengths).astype(np.int32))):
+                whole = (words * _powers(_BASE, len(words))).sum(dtype=np.uint64) ^ np.uint64(len(words))
+                for out, x in zip(rows, (ident, int(whole.astype(np.int64)), len(words), distinct.view(np.int64), np.bincount(place, lengths).astype(np.int32))):
                     out.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int32()))],
-                names=["id", "n_words", "digests", "lengths"],
+                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.list_(pa.int32()))],
+                names=["id", "print", "n_words", "digests", "lengths"],
             )
 
     return run
 
 
-def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "id", text_col: str = "text", min_overlap: float = 0.2, mutual: bool = True, mask: int = 3, shortest: int = 3, min_words: int = 1) -> DataFrame:
-    """``id_a, id_b, overlap_a, overlap_b``: records of side ``a`` and of side ``b`` that
-    share chunks of at least ``min_overlap`` of the record of side ``b``, and of that of
-    side ``a`` too unless ``mutual`` is off.
+@dataclass(frozen=True)
+class Overlaps:
+    """``members``: ``id, rep, side``; ``pairs``: ``rep_a, rep_b, overlap_a, overlap_b``
+    between classes of equal records, ``rep_a = rep_b`` where a class is on both sides."""
+
+    members: DataFrame
+    pairs: DataFrame
+
+
+def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "id", text_col: str = "text", min_overlap: float = 0.2, mutual: bool = True, mask: int = 3, shortest: int = 3, min_words: int = 1) -> Overlaps:
+    """Records of side ``a`` and of side ``b`` that share chunks of at least
+    ``min_overlap`` of the record of side ``b``, and of that of side ``a`` too unless
+    ``mutual`` is off.
 
     ``records`` has a unique id and a text, ``sides`` an ``id`` and a ``side``, 'a' or
-    'b'; a record may be on both and is then never paired with itself. A fraction is
-    the total length of the record's chunks found in the other record, over its words.
-    Records without words, an id or a side have no pairs; repeated rows of ``sides``
-    count once; texts are read whole; an empty side gives no rows. The texts themselves
-    are never shuffled.
+    'b'; a record may be on both. A fraction is the total length of the record's chunks
+    found in the other record, over its words. Records of equal words are one class,
+    which is joined once however many they are. Records without words, an id or a side
+    are in no pair; repeated rows of ``sides`` count once; texts are read whole; an
+    empty side gives no pairs. The texts themselves are never shuffled.
     """
     placed = sides.select(F.col("id").cast("long").alias("id"), "side").where(F.col("side").isin("a", "b")).distinct()
     texts = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = texts.mapInArrow(_chunks(mask, shortest, min_words), "id long, n_words int, digests array<long>, lengths array<int>")
-    each = placed.join(table, "id").select("id", (F.col("side") == "a").alias("a"), "n_words", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("id", "a", "n_words", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
+    table = stage_table(texts.mapInArrow(_chunks(mask, shortest, min_words), "id long, print long, n_words int, digests array<long>, lengths array<int>"), "chunks")
+    prints = placed.join(table.select("id", "print"), "id")
+    classes = prints.groupBy("print").agg(F.min("id").alias("rep"))
+    members = stage_table(prints.join(classes, "print").select("id", "rep", "side"), "members")
+    on = members.select(F.col("rep").alias("id"), "side").distinct()
+    each = on.join(table, "id").select("id", (F.col("side") == "a").alias("a"), "n_words", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("id", "a", "n_words", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
     same = W.partitionBy("digest")
     shared = each.withColumns({"na": F.count_if("a").over(same), "nb": F.count_if(~F.col("a")).over(same)}).where("na > 0 AND nb > 0")
     shared = stage_table(shared, "shared-chunks")
@@ -111,4 +126,15 @@ def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "
         total = F.aggregate(F.filter(f"c_{of}", lambda c: F.array_contains(F.col(f"d_{other}"), c["digest"])), F.lit(0), lambda t, c: t + c["length"])
         return total / F.col(f"n_{of}")
 
-    return both.select("id_a", "id_b", fraction("a", "b").alias("overlap_a"), fraction("b", "a").alias("overlap_b")).where((F.col("overlap_b") >= min_overlap) & ((F.col("overlap_a") >= min_overlap) | F.lit(not mutual)))
+    near = both.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"), fraction("a", "b").alias("overlap_a"), fraction("b", "a").alias("overlap_b")).where((F.col("overlap_b") >= min_overlap) & ((F.col("overlap_a") >= min_overlap) | F.lit(not mutual)))
+    twice = on.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select(F.col("id").alias("rep_a"), F.col("id").alias("rep_b"), F.lit(1.0).alias("overlap_a"), F.lit(1.0).alias("overlap_b"))
+    return Overlaps(members, near.unionByName(twice))
+
+
+def member_pairs(found: Overlaps, pairs: DataFrame) -> DataFrame:
+    """``id_a, id_b`` of different records in the given pairs of classes ``rep_a, rep_b``; as
+    large as a result of pairs demands."""
+    m = found.members
+    a = m.where("side = 'a'").select(F.col("rep").alias("rep_a"), F.col("id").alias("id_a"))
+    b = m.where("side = 'b'").select(F.col("rep").alias("rep_b"), F.col("id").alias("id_b"))
+    return pairs.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").where("id_a <> id_b").select("id_a", "id_b")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docuplane.llm.neardup import Signature, all_pairs, group_ids, near_duplicates
-from docuplane.llm.overlap import chunk_record, cross_split_overlap
+from docuplane.llm.overlap import chunk_record, cross_split_overlap, member_pairs
 from docuplane.llm.pagenoise import Lexicon, broken_word, confusions, header_key, line_defects, page_defects, paragraph_breaks, repaired_page, repaired_pages
 from docuplane.llm.shingles import WordHashes, jaccard, run_hashes, word_hashes
 
@@ -74,10 +74,11 @@ def test_chunks_cover_and_resume_after_an_edit():
 def test_overlap_between_splits(spark):
     r = random.Random(9)
     texts = collection(r)
+    texts += [texts[3].upper()] * 4
     rows = [(i, t, "c") for i, t in enumerate(texts)] + [(98, None, ""), (99, "", "")]
     sides = [(i, "ab"[i % 2]) for i in range(len(texts))] + [(0, "b"), (0, "a"), (98, "a"), (99, "b"), (99, "b"), (5, None), (7, "other")]
     got = cross_split_overlap(spark.createDataFrame(rows, "id long, text string, digest string"), spark.createDataFrame(sides, "id long, side string"), min_overlap=0.2)
-    pairs = {(x["id_a"], x["id_b"]) for x in got.collect()}
+    pairs = {(x["id_a"], x["id_b"]) for x in member_pairs(got, got.pairs).collect()}
     side = {"a": {i for i, s in sides if s == "a"}, "b": {i for i, s in sides if s == "b"}}
     known = WordHashes()
     chunks = [dict(zip(*(x.tolist() for x in chunk_record(word_hashes(t, known))))) for t in texts]
@@ -93,7 +94,7 @@ def test_overlap_between_splits(spark):
 
 def test_no_records(spark):
     empty = spark.createDataFrame([], "id long, text string")
-    assert cross_split_overlap(empty, spark.createDataFrame([], "id long, side string")).count() == 0
+    assert cross_split_overlap(empty, spark.createDataFrame([], "id long, side string")).pairs.count() == 0
 
 
 WORDS = "the contractor shall inspect every schedule include manual before during number modern until terms order".split()
