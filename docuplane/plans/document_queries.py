@@ -10,6 +10,7 @@ from docuplane.functions import cleaning as C
 from docuplane.functions.normal import month_key, number_key
 from docuplane.operators import acquisition as A
 from docuplane.operators import citations as T
+from docuplane.operators import labelling as N
 from docuplane.operators import ledger as L
 from docuplane.operators import registry as R
 from docuplane.operators import roles as B
@@ -377,3 +378,34 @@ def currency_by_era(spark: SparkSession, d: str) -> DataFrame:
     c = R.version_in_force(_cited(spark, d), _versions(spark, d)).join(known, "number", "left")
     judged = c.select("doc_id", F.substring("day", 1, 4).alias("era"), R.currency(F.coalesce("known", F.lit(False)), F.col("cited"), F.col("clause_date")).alias("category"))
     return judged.groupBy("era", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+
+
+# ---- items for annotators
+
+
+@query()
+def neutral_contexts(spark: SparkSession, d: str) -> DataFrame:
+    p = pages(spark, d)
+    return N.neutral_contexts(T.mentions(p).select("cand_id", "page_id", "line_no", "number"), T.page_lines(p))
+
+
+@query(f"WITH {_CANDS} SELECT doc_id, number, cand_id, k AS shown FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY page, line_no, char_start, cand_id) AS k FROM c) WHERE k <= 3")
+def evidence_sheet(spark: SparkSession, d: str) -> DataFrame:
+    return N.evidence_sheet(cands(spark, d)).select("doc_id", "number", "cand_id", "shown")
+
+
+@query()
+def sampled_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return N.sampled_numbers(cands(spark, d), 5)
+
+
+@query()
+def request_batches(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "candidates").select("doc_id", "cand_id", F.col("line_text").alias("context")).distinct()
+    return N.request_batches(c)
+
+
+@query(f"WITH a AS (SELECT DISTINCT doc_id, {_NUMBER.format('number')} AS number FROM candidates), b AS (SELECT DISTINCT doc_id, {_NUMBER.format('number')} AS number FROM gold_labels) SELECT doc_id, number, 'missing' AS problem FROM a ANTI JOIN b USING (doc_id, number) UNION ALL SELECT doc_id, number, 'extra' FROM b ANTI JOIN a USING (doc_id, number)")
+def intake_differences(spark: SparkSession, d: str) -> DataFrame:
+    g = read_table(spark, d, "gold_labels").select("doc_id", number_key(F.col("number")).alias("number"))
+    return N.intake_differences(cands(spark, d), g, "doc_id", "number")
