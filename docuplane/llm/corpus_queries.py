@@ -63,4 +63,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates}
-SQL: dict = {}
+_WINDOWS = r"(SELECT {0} AS id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM (SELECT {0}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL) WHERE len(w) >= 12)"
+SQL = {"p7_found": f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM {_WINDOWS.format('doc_id', 'documents')} d JOIN {_WINDOWS.format('item_id', 'eval_items')} i ON d.g = i.g"}

@@ -74,4 +74,14 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_repaired": p6_repaired}
-SQL: dict = {}
+_RUNS = r"""
+w AS (SELECT page_id, doc_id, regexp_extract_all(lower(text_plain), '[\p{L}\p{N}]+') AS w FROM page_texts WHERE text_plain IS NOT NULL),
+s AS (SELECT DISTINCT page_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 30),
+n AS (SELECT page_id, count(*) AS n FROM s GROUP BY ALL),
+k AS (SELECT a.page_id AS page_id_a, b.page_id AS page_id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.page_id < b.page_id GROUP BY ALL),
+j AS (SELECT page_id_a, page_id_b FROM k JOIN n a ON a.page_id = page_id_a JOIN n b ON b.page_id = page_id_b WHERE k >= 0.6 * (a.n + b.n - k))
+"""
+SQL = {
+    "p4_found": f"WITH {_RUNS} SELECT * FROM j",
+    "p5_found": f"WITH {_RUNS}, t AS (SELECT DISTINCT page_id, lower(trim(split)) = 'train' AS train FROM page_texts JOIN doc_splits USING (doc_id) WHERE lower(trim(split)) IN ('train', 'dev', 'test', 'holdout')) SELECT DISTINCT j.* FROM j JOIN t a ON a.page_id = page_id_a JOIN t b ON b.page_id = page_id_b WHERE a.train <> b.train",
+}
