@@ -83,7 +83,7 @@ def weighted_consensus(votes: DataFrame, labels: tuple[str, ...], *, smoothing:
         sure = sum((p * p for p in others[1:]), others[0] * others[0])
         by_chance = (1 - sure) / F.lit(float(k - 1))
         # what a vote adds above the chance to meet a doubtful consensus, and what a perfect annotator's would
-        held = scored.groupBy("annotator").agg(F.sum(met - by_chance).alias("_c"), F.sum(sure - by_chance).alias("_n"))
+        held = stage_table(scored.groupBy("annotator").agg(F.sum(met - by_chance).alias("_c"), F.sum(sure - by_chance).alias("_n")), "held")
         totals = held.agg(F.sum("_c").alias("c"), F.sum("_n").alias("n")).first()
         mean_value = totals["c"] / totals["n"] if totals["n"] else start
         updated = (
