@@ -30,7 +30,7 @@ def scores(counts: DataFrame, *by: str, beta: float = 1.0) -> DataFrame:
     return s.select(*by, ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), f_score(tp, fp, fn, beta).alias("f"), ratio(tn, tn + fp).alias("specificity"), ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"))
 
 
-def draw_multiplicity(unit: Column, rep: Column, n: Column) -> Column:
+def draw_multiplicity(unit: Column, rep: Column) -> Column:
     """How often a replicate draws a unit: a Poisson(1) count from arithmetic on the two
     numbers, so that a resample is the same in every engine and needs no draw table."""
     mixed = F.pmod((unit + 1) * 48271 + (rep + 1) * 69621 + (unit + 1) * (rep + 1) * 16807, F.lit(1_000_003))
@@ -56,7 +56,7 @@ def bootstrap(counts: DataFrame, reps: int = 200, level: float = 0.95, systems:
     """
     cols = ["tp", "fp", "fn"] + (["tp2", "fp2", "fn2"] if systems else [])
     r = counts.select("unit", *cols, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    m = draw_multiplicity(F.col("unit"), F.col("rep"), F.lit(0))
+    m = draw_multiplicity(F.col("unit"), F.col("rep"))
     s = r.groupBy("rep").agg(*[F.sum(F.col(c) * m).alias(c) for c in cols])
     f = f_score(F.col("tp"), F.col("fp"), F.col("fn"))
     if systems:

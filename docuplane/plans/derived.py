@@ -19,11 +19,10 @@ COLUMNS = {
     "source": "CASE WHEN l_partkey % 3 = 0 THEN 'model' WHEN l_partkey % 3 = 1 THEN 'box_rule' ELSE 'list_rule' END",
     "role": "CASE l_returnflag WHEN 'R' THEN 'SELECTED' WHEN 'A' THEN 'NOT_SELECTED' ELSE 'BY_REFERENCE' END",
     "y": "l_linestatus = 'F'",
-    "line_text": "concat(l_shipmode_or, ' ', cast(l_quantity AS varchar(16)))",
+    "line_text": "concat('line ', cast(l_linenumber AS varchar(8)), ' part ', cast(l_partkey AS varchar(12)))",
     "page": "l_linenumber",
     "ordinal": "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity)",
 }
-COLUMNS["line_text"] = "concat('line ', cast(l_linenumber AS varchar(8)), ' part ', cast(l_partkey AS varchar(12)))"
 SELECT = ", ".join(f"{sql} AS {name}" for name, sql in COLUMNS.items())
 #: The table as a common table expression.
 MENTIONS = f"m AS (SELECT {SELECT} FROM lineitem)"

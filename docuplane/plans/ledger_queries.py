@@ -25,7 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-_Q = "q AS (SELECT doc_id, number, alternate, {base} * any_value(kept) AS q FROM (SELECT *, product(1 - e) OVER (PARTITION BY doc_id, number) AS kept FROM m) GROUP BY ALL)"
 _NOISY = "n AS (SELECT doc_id, number, alternate, (1 - product(1 - b)) AS base FROM m GROUP BY ALL), k AS (SELECT doc_id, number, product(1 - e) AS kept FROM m GROUP BY ALL), q AS (SELECT n.*, base * kept AS q FROM n JOIN k USING (doc_id, number))"
 _MAX = _NOISY.replace("(1 - product(1 - b))", "max(b)")
 
