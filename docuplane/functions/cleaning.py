@@ -28,7 +28,13 @@ _X, _BLANK, _LOST = "⟦X⟧", "⟦ ⟧", "⟦?⟧"
 
 def redacted(text: Column) -> Column:
     """E-mail addresses and phone numbers replaced; section numbers kept."""
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, "[EMAIL]"), PHONE, "[PHONE]")
+    mail = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, "[EMAIL]")).otherwise(text)
+    return F.when(mail.rlike(r"\d{3}[\s\u0085\p{Z}.\-]\d{4}"), F.regexp_replace(mail, PHONE, "[PHONE]")).otherwise(mail)
+
+
+def mentions_marking(text: Column) -> Column:
+    """Whether a text mentions any marking: the cheap test before they are named."""
+    return text.rlike("(?i)" + "|".join(MARKINGS.values()))
 
 
 def _named(tests: list[tuple[str, Column]]) -> Column:
@@ -59,6 +65,10 @@ def plain_html(markup: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(s, F.lit("&amp;"), F.lit("&")), r"(?U)\s+", " "))
 
 
+#: Whether a line can hold a box at all.
+_MAYBE_BOX = rf"[{CHECKED}{UNCHECKED}{TICKS}■\x{{F06F}}-\x{{F072}}\x{{F0A8}}\x{{F0FC}}-\x{{F0FE}}]|^\s*(?:\[[\s_xX]|\[\]|\(\s|\([xX]|_[xX]_)"
+
+
 def marked_line(line: Column) -> Column:
     """A text line with its boxes as markers: ballot boxes anywhere, ticks and a filled
     square before a number at the start, boxes typed as text at the start."""
@@ -69,12 +79,13 @@ def marked_line(line: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, f"[{CHECKED}]", _X), f"[{UNCHECKED}]", _BLANK)
     # Private-use code points of box shapes; only two have a known state
     s = F.regexp_replace(F.regexp_replace(s, r"^(\s*)\x{F0FC}", f"$1{_X}"), r"\x{F072}", _BLANK)
-    return F.regexp_replace(s, r"[\x{F06F}\x{F070}\x{F071}\x{F0A8}\x{F0FC}\x{F0FD}\x{F0FE}]", _LOST)
+    s = F.regexp_replace(s, r"[\x{F06F}\x{F070}\x{F071}\x{F0A8}\x{F0FC}\x{F0FD}\x{F0FE}]", _LOST)
+    return F.when(line.rlike(_MAYBE_BOX), s).otherwise(line)
 
 
 def text_layout(text: Column) -> Column:
     """The layout of a plain text file: lines that are not blank, with box markers."""
-    lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{0085}\x{2028}\x{2029}]"), lambda x: stripped(x) != "")
+    lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{0085}\x{2028}\x{2029}]"), lambda x: x.rlike(r"[^\s\x1c-\x1f\u0085\p{Z}]"))
     return F.array_join(F.transform(lines, marked_line), "\n")
 
 

@@ -180,8 +180,8 @@ def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def marking_counts(spark: SparkSession, d: str) -> DataFrame:
     """Markings mentioned, and shown as banners, by document and page."""
-    p = pages(spark, d)
-    said = p.select("doc_id", "page_id", F.explode(C.markings(F.coalesce("text_plain", F.lit("")))).alias("marking"), F.lit("mention").alias("kind"))
+    p = pages(spark, d).where(C.mentions_marking(F.col("text_plain")))
+    said = p.select("doc_id", "page_id", F.explode(C.markings(F.col("text_plain"))).alias("marking"), F.lit("mention").alias("kind"))
     shown = T.page_lines(p, "text_plain").select("doc_id", "page_id", F.explode(C.banner_markings(F.col("line"))).alias("marking"), F.lit("banner").alias("kind"))
     return said.unionByName(shown).groupBy("marking", "kind").agg(F.countDistinct("page_id").alias("n_pages"), F.countDistinct("doc_id").alias("n_documents"))
 
