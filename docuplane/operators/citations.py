@@ -31,7 +31,11 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 def plain_numbers(text: Column) -> Column:
     """Distinct numbers of the plain search: a known part not after a digit, with an
     optional suffix of up to four digits after an ASCII hyphen."""
-    every = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(rf"(?<!\d)({part}\.\d{{3}}(?:-\d{{1,4}})?)"), F.lit(1)) for part in P.PLAIN_PARTS]))
+    def part_numbers(part: str) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(rf"(?<!\d)({part}\.\d{{3}}(?:-\d{{1,4}})?)"), F.lit(1))
+        return F.when(text.contains(f"{part}."), hits).otherwise(F.array().cast("array<string>"))  # most parts are on few pages
+
+    every = F.flatten(F.array(*[part_numbers(p) for p in P.PLAIN_PARTS]))
     return F.array_sort(F.array_distinct(every))
 
 
