@@ -170,22 +170,25 @@ def all_pairs(found: NearDuplicates) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def group_ids(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def group_ids(links: DataFrame) -> DataFrame:
     """``rep, grp``: the smallest representative reachable over links, for linked ones.
 
-    Each round takes the smallest label among the neighbours and then the label of that
-    label; rounds grow with the logarithm of a chain's length. Each is written to the
-    shared folder; only the number of changes reaches the driver.
+    Each round a node takes the smallest label of its label and of its neighbours'
+    labels, and hands what it found to the node that it is labelled with, so that roots
+    hook onto each other and a chain's labels halve. Rounds go on until no label
+    changes. Each is written to the shared folder; only whether there was a change
+    reaches the driver.
     """
     both = links.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
     both = stage_table(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    label = stage_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("l")), "labels")
-    for _ in range(max_rounds):
-        around = both.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        lower = label.join(around, "u").select("u", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        jump = lower.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        new = stage_table(lower.join(jump, "l", "left").select("u", "was", F.least(F.col("l"), F.coalesce("ll", F.col("l"))).alias("l")), "labels")
-        label = new.select("u", "l")
+    # l is a node's label, g that label's own label
+    label = stage_table(both.select("u").distinct().select("u", F.col("u").alias("l"), F.col("u").alias("g")), "labels")
+    while True:
+        around = both.join(label.select(F.col("u").alias("v"), "g"), "v").groupBy("u").agg(F.min("g").alias("m"))
+        lower = stage_table(label.join(around, "u"), "lower")
+        hooked = lower.groupBy(F.col("l").alias("u")).agg(F.min("m").alias("h"))
+        new = lower.join(hooked, "u", "left").select("u", F.col("l").alias("was"), F.least("g", "m", "h").alias("l"))
+        new = stage_table(new, "labels")
         if new.where("l <> was").limit(1).count() == 0:
-            break
-    return label.select(F.col("u").alias("rep"), F.col("l").alias("grp"))
+            return new.select(F.col("u").alias("rep"), F.col("l").alias("grp"))
+        label = stage_table(new.select("u", "l").join(new.select(F.col("u").alias("l"), F.col("l").alias("g")), "l").select("u", "l", "g"), "labels")

@@ -61,6 +61,13 @@ def test_groups_reach_over_chains(spark):
     assert {x["rep"]: x["grp"] for x in group_ids(links).collect()} == {**dict.fromkeys(range(1, 21), 1), 40: 40, 50: 40}
 
 
+def test_groups_of_a_long_chain_are_whole(spark):
+    path = [0, *range(99, 0, -1)]
+    links = spark.createDataFrame([(min(x), max(x)) for x in zip(path, path[1:])], "id_a long, id_b long")
+    assert {x["rep"]: x["grp"] for x in group_ids(links).collect()} == dict.fromkeys(range(100), 0)
+    assert group_ids(links.limit(0)).count() == 0
+
+
 def test_chunks_cover_and_resume_after_an_edit():
     known = WordHashes()
     r = random.Random(1)
