@@ -23,7 +23,7 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_leaks(spark, d).where("kind = 'phrase'").select("doc_id", "item_id")
+    return leaked_passages(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), proximity=False).select("doc_id", "item_id")
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,9 @@ whole corpus, so that any document with the window has a posting under that term
 lists of those terms are intersected with the items' at matching offsets, and the words
 around the posting are compared with the item's on the same diagonal: an exact phrase
 is a run of at least ``passage`` equal words; two different terms of an item close to
-each other without such a run are a proximity match.
+each other without such a run are a proximity match. For these the rarer half of the
+item's terms that the corpus has, and the rarest such term of each window, are indexed
+too, whatever else the window holds.
 
 Only terms that can occur in an item leave a scan of the corpus. They are recognised by
 a bit map of fixed size, whose chance hits the join on the full hash removes.
@@ -138,17 +140,19 @@ def _runs(term: int, around: int):
             back = np.where(same[:, :side].all(axis=1), side, np.argmin(same[:, :side][:, ::-1], axis=1)) if side else np.zeros(n, int)
             on = np.where(same[:, side:].all(axis=1), side + term, np.argmin(same[:, side:], axis=1))
             length = np.where(on >= term, back + on, 0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(length.astype(np.int32))], names=["id", "item_id", "pos", "item_pos", "run"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(length.astype(np.int32))], names=["id", "item_id", "pos", "term", "run"])
 
     return run
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 12, term: int = 3, slop: int = 40) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 12, term: int = 3, slop: int = 40, proximity: bool = True) -> DataFrame:
     """``doc_id, item_id, kind, longest_run, first_pos``: documents that hold passages of items.
 
     ``kind`` is 'phrase' where at least ``passage`` consecutive words of the item occur
     (``longest_run`` counts to at most ``2 * passage - term``, enough to tell), else
     'proximity' where two different rare terms of the item occur within ``slop`` words.
+    Rare are the item's terms up to its median count, of those that the corpus has, two
+    at least, and the rarest of each window. Without ``proximity`` only phrases come out.
     Words are unbroken runs of letters and digits, case ignored, so punctuation, quotes
     and line breaks do not matter. An item shorter than a passage, null or empty, leaks
     nowhere. Repeated rows and equal ids count once in the result; rows without an id
@@ -168,13 +172,21 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, doc_id: str = "do
     ranked = item_terms.join(rarity, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = ranked.select("id", F.min(F.struct("n", "pos", "term", "near")).over(window).alias("b"), F.count(F.lit(1)).over(window).alias("k"))
     anchors = best.where((F.col("k") == passage - term + 1) & (F.col("b.n") > 0)).select(F.col("id").alias("item_id"), F.col("b.pos").alias("item_pos"), F.col("b.term").alias("term"), F.col("b.near").alias("item_near")).distinct()
+    if proximity:
+        known = ranked.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("id"))).where((F.col("k") >= passage - term + 1) & (F.col("n") > 0))
+        bars = known.select("id", "term", "n").distinct().groupBy("id").agg(F.when(F.count(F.lit(1)) > 2, F.percentile("n", F.lit(0.5))).otherwise(F.max("n")).alias("bar"))
+        rare = known.join(bars, "id").where(F.col("n") <= F.col("bar")).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "term", F.col("near").alias("item_near"))
+        # by position, so that windows may hold terms that the corpus lacks
+        least = known.select("id", "k", F.min(F.struct("n", "pos", "term", "near")).over(per_item.rangeBetween(0, passage - term)).alias("b")).select(F.col("id").alias("item_id"), F.col("b.pos").alias("item_pos"), F.col("b.term").alias("term"), F.col("b.near").alias("item_near"))
+        anchors = anchors.unionByName(rare).unionByName(least).distinct()
     anchors = stage_table(anchors, "anchors")
     chosen = spark.sparkContext.broadcast(_bit_map(anchors.select("term")))
     index = docs.mapInArrow(_document_postings(term, passage, chosen), POSTING)
-    met = index.join(anchors, "term").select("id", "item_id", "pos", "item_pos", "near", "item_near")
-    runs = met.mapInArrow(_runs(term, passage), "id long, item_id long, pos int, item_pos int, run int")
-    order = W.partitionBy("id", "item_id").orderBy("pos", "item_pos")
-    close = runs.withColumn("close", (F.lag("item_pos").over(order) != F.col("item_pos")) & (F.col("pos") - F.lag("pos").over(order) <= slop))
+    met = index.join(anchors, "term").select("id", "item_id", "pos", "term", "near", "item_near")
+    runs = met.mapInArrow(_runs(term, passage), "id long, item_id long, pos int, term long, run int")
+    # another term within slop words before, however often this one is repeated in between
+    before = W.partitionBy("id", "item_id").orderBy("pos").rangeBetween(-slop, 0)
+    close = runs.withColumn("close", F.min("term").over(before) != F.max("term").over(before)) if proximity else runs.withColumn("close", F.lit(False))
     found = close.groupBy("id", "item_id").agg(F.max("run").alias("longest_run"), F.min("pos").alias("first_pos"), F.max(F.coalesce("close", F.lit(False))).alias("close"))
     kind = F.when(F.col("longest_run") >= passage, "phrase").when(F.col("close"), "proximity")
     return found.select(F.col("id").alias("doc_id"), "item_id", kind.alias("kind"), "longest_run", "first_pos").where(F.col("kind").isNotNull())

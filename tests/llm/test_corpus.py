@@ -51,6 +51,24 @@ def test_proximity(spark):
     assert [x["kind"] for x in got] in ([], ["proximity"])
 
 
+def test_proximity_of_edited_items(spark):
+    long, exact = [f"a{i}" for i in range(48)], [f"b{i}" for i in range(12)]
+    edited = ["edit" if i % 10 == 5 else w for i, w in enumerate(long)]
+    # b0..b2, twice, and only then b9..b11, within 40 words of the second b0
+    short = exact[:3] + ["x"] * 30 + exact[:3] + ["y"] * 30 + exact[9:]
+    lone = exact[:3] + ["z"] * 60 + exact[9:]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(exact)), (3, "c0 c1 c2 c3 c4 c5")], "item_id long, text string")
+
+    def leaks(*docs):
+        rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+        return {(x["doc_id"], x["item_id"], x["kind"]) for x in leaked_passages(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+
+    want = {(0, 1, "proximity"), (1, 2, "proximity")}
+    assert leaks(edited, short, lone, ["c0", "c1", "c2", "c3", "c4"]) == want
+    # an unrelated document that holds the whole item changes nothing for the others
+    assert leaks(edited, short, lone, [], long) == want | {(4, 1, "phrase")}
+
+
 def test_no_documents_or_items(spark):
     d, i = "doc_id long, text string", "item_id long, text string"
     some = " ".join(WORDS[:20])
