@@ -10,6 +10,11 @@ therefore takes a record's chunks from the rarest on, and leaves out the most fr
 ones as long as their total length stays below ``min_overlap`` of the record: of all
 chunks two records share the rarest is then in the index of both, so no pair that
 reaches the fraction is lost.
+
+Scattered edits can break most chunks of a pair whose word runs are still mostly the
+same. ``shared_run_pairs`` therefore has the same index over overlapping runs of words,
+which loses no pair of a given Jaccard coefficient: such a pair shares at least that
+fraction of the runs of both.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docuplane.llm.shingles import WordHashes, mixed, word_hashes
+from docuplane.llm.shingles import WordHashes, mixed, run_hashes, word_hashes
 from docuplane.session import stage_table
 
 _BASE = 0x5851F42D4C957F2D
@@ -138,3 +143,46 @@ def member_pairs(found: Overlaps, pairs: DataFrame) -> DataFrame:
     a = m.where("side = 'a'").select(F.col("rep").alias("rep_a"), F.col("id").alias("id_a"))
     b = m.where("side = 'b'").select(F.col("rep").alias("rep_b"), F.col("id").alias("id_b"))
     return pairs.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").where("id_a <> id_b").select("id_a", "id_b")
+
+
+def _runs(width: int, min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            ids, runs = [], []
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = word_hashes(text, known)
+                if ident is None or len(words) < max(width, min_words):
+                    continue
+                ids.append(ident)
+                runs.append(run_hashes(words, width))
+            n = np.array([len(x) for x in runs], np.int64)
+            digests = np.concatenate(runs).view(np.int64) if runs else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(digests)], names=["id", "n", "digest"])
+
+    return run
+
+
+def shared_run_pairs(records: DataFrame, members: DataFrame, *, id_col: str = "id", text_col: str = "text", width: int = 3, threshold: float = 0.6, min_words: int = 1) -> DataFrame:
+    """``rep_a, rep_b``: candidates among which is every pair of classes of different
+    sides whose sets of runs of ``width`` words have a Jaccard coefficient of at least
+    ``threshold``.
+
+    ``members`` are those of ``cross_split_overlap``. Runs are taken from the rarest on,
+    until what is left is too little for the threshold.
+    """
+    on = members.groupBy("rep").agg(F.bool_or(F.col("side") == "a").alias("a"), F.bool_or(F.col("side") == "b").alias("b"))
+    texts = records.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(on.select("rep"), "rep", "left_semi").select("rep", "text")
+    runs = texts.mapInArrow(_runs(width, min_words), "id long, n int, digest long")
+    each = runs.join(on.withColumnRenamed("rep", "id"), "id")
+    same = W.partitionBy("digest")
+    shared = each.withColumns({"na": F.count_if("a").over(same), "nb": F.count_if("b").over(same)}).where("na > 0 AND nb > 0 AND na + nb > 1")
+    rarest = W.partitionBy("id").orderBy(F.col("na") + F.col("nb"), "digest").rowsBetween(0, W.unboundedFollowing)
+    indexed = shared.withColumn("rest", F.count(F.lit(1)).over(rarest)).where(F.col("rest") >= threshold * F.col("n") - 1e-6)
+    indexed = stage_table(indexed.select("id", "n", "a", "b", "digest", F.col("rest").cast("int").alias("rest")), "shared-runs")
+    a, b = (indexed.where(x).select("digest", *[F.col(c).alias(f"{to}_{x}") for c, to in (("id", "rep"), ("n", "n"), ("rest", "rest"))]) for x in "ab")
+    met = a.join(b, "digest").where("rep_a <> rep_b")
+    # every shared run up to the last that both have indexed is counted; after it there are at most as many as the shorter rest
+    most = F.count(F.lit(1)) + F.min(F.least("rest_a", "rest_b")) - 1
+    reach = met.groupBy("rep_a", "rep_b").agg(most.alias("most"), F.first(F.col("n_a") + F.col("n_b")).alias("n"))
+    return reach.where(F.col("most") >= threshold / (1 + threshold) * F.col("n") - 1e-6).select("rep_a", "rep_b")

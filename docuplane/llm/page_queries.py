@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docuplane.functions.normal import label_name
 from docuplane.llm.neardup import NearDuplicates, Signature, all_pairs, group_ids, near_duplicates
-from docuplane.llm.overlap import cross_split_overlap, member_pairs
+from docuplane.llm.overlap import cross_split_overlap, member_pairs, shared_run_pairs
 from docuplane.llm.pagenoise import page_defects, repaired_pages
 from docuplane.llm.shingles import exact_jaccard
 from docuplane.session import read_table
@@ -45,7 +45,8 @@ def leaked_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = read_table(spark, d, "page_texts")
     sides = split_pages(pages, read_table(spark, d, "doc_splits")).select(F.col("page_id").alias("id"), "side")
     found = cross_split_overlap(pages, sides, id_col="page_id", text_col="text_plain", min_overlap=0.2, min_words=PAGE_SHAPE.min_words)
-    differ = found.pairs.where("rep_a <> rep_b").select(F.col("rep_a").alias("id_a"), F.col("rep_b").alias("id_b"))
+    by_runs = shared_run_pairs(pages, found.members, id_col="page_id", text_col="text_plain", width=PAGE_SHAPE.width, threshold=PAGE_THRESHOLD, min_words=PAGE_SHAPE.min_words)
+    differ = found.pairs.where("rep_a <> rep_b").select("rep_a", "rep_b").unionByName(by_runs).distinct().select(F.col("rep_a").alias("id_a"), F.col("rep_b").alias("id_b"))
     close = exact_jaccard(differ, pages.select(F.col("page_id").alias("id"), F.col("text_plain").alias("text")), PAGE_SHAPE.width).where(F.col("jaccard") >= PAGE_THRESHOLD)
     same = found.pairs.where("rep_a = rep_b").select("rep_a", "rep_b")
     return member_pairs(found, close.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b")).unionByName(same))
