@@ -92,6 +92,7 @@ class Lexicon:
         self.cost = {w: 2.0 + 0.3 * log(total / n) for w, n in self.pages.items()}
         self._tree: dict | None = None
         self._known: dict[str, str | None] = {}
+        self._segmented: dict[tuple[str, float], list[tuple[str, int, int]] | None] = {}
 
     @property
     def tree(self) -> dict:
@@ -117,9 +118,22 @@ class Lexicon:
 
     def decode(self, stream: str, slack: float = 24.0) -> list[str] | None:
         """The cheapest words for a stretch of lower-case characters with blanks and line
-        ends, by a search over positions; None where no words cover it all."""
+        ends; None where no words cover it all."""
+        found = self.segments(stream, slack)
+        return None if found is None else [w for w, _, _ in found]
+
+    def segments(self, stream: str, slack: float = 24.0) -> list[tuple[str, int, int]] | None:
+        """``decode`` with where each word begins and ends, by a search over positions."""
+        key = (stream, slack)
+        if key not in self._segmented:
+            if len(self._segmented) > 100_000:
+                self._segmented.clear()
+            self._segmented[key] = self._search(stream, slack)
+        return self._segmented[key]
+
+    def _search(self, stream: str, slack: float) -> list[tuple[str, int, int]] | None:
         end = len(stream)
-        best: list[tuple[float, list[str]] | None] = [None] * (end + 1)
+        best: list[tuple[float, list[tuple[str, int, int]]] | None] = [None] * (end + 1)
         best[0] = (0.0, [])
         for i in range(end):
             if best[i] is None or best[i][0] > slack:
@@ -136,7 +150,7 @@ class Lexicon:
                     # the blank after a word, or 4 for its absence
                     for to, more in ((at + 1, 0.0),) if at < end and stream[at] in " \n" else ((at, 0.0 if at == end else 4.0),):
                         if best[to] is None or best[to][0] > total + more:
-                            best[to] = (total + more, [*words, word])
+                            best[to] = (total + more, [*words, (word, i, at)])
                 if at >= end:
                     continue
                 ch = stream[at]
@@ -182,6 +196,54 @@ def joined(lexicon: Lexicon, head: str, rest: str) -> str | None:
     return whole if whole in lexicon.pages else lexicon.corrected(whole)
 
 
+def unbroken(lexicon: Lexicon, line: str, following: str) -> tuple[str, str] | None:
+    """The pieces of a word that runs on over a line end without a hyphen, lower case;
+    one of them at least is no word of its own."""
+    last, first = line.split()[-1:], following.split(None, 1)[:1]
+    if not last or not first or not last[0][-1].isalpha() or not first[0][0].islower():
+        return None
+    head, rest = letters(last[0])[-1:], letters(first[0])[:1]
+    if not head or not rest or min(len(head[0]), len(rest[0])) < 2 or not (head[0] + rest[0]).isalpha():
+        return None
+    if all(p in lexicon.pages or lexicon.corrected(p) for p in head + rest):
+        return None
+    found = lexicon.decode(f"{head[0]}\n{rest[0]}")
+    return (head[0], rest[0]) if found and len(found) == 1 else None
+
+
+def _unknown(lexicon: Lexicon, word: str) -> bool:
+    return len(word) > 1 and any(ch.isalpha() for ch in word) and word not in lexicon.pages and lexicon.corrected(word) is None
+
+
+def rejoined(lexicon: Lexicon, chunks: list[str]) -> Iterator[tuple[int, int, str]]:
+    """``(first, last, word)`` of words with stray blanks inside: runs of chunks, some
+    unknown, that the decoding makes one word. Punctuation ends a stretch."""
+    low = [c.lower() for c in chunks]
+    cores = [c.strip(_EDGE) for c in low]
+    plain = [c != "" and c[0].isalpha() and not HYPHENS.search(c) and not CLAUSE.search(c) for c in cores]
+    done = -1
+    for i, core in enumerate(cores):
+        if i <= done or not plain[i] or not _unknown(lexicon, core):
+            continue
+        first = i - 1 if i and i - 1 > done and plain[i - 1] and low[i - 1].endswith(cores[i - 1]) and low[i].startswith(core) else i
+        last = i
+        while last + 1 < len(cores) and plain[last + 1] and last - first < 4 and low[last].endswith(cores[last]) and low[last + 1].startswith(cores[last + 1]) and chunks[last + 1][0].islower() | chunks[last + 1].isupper():
+            last += 1
+            if not _unknown(lexicon, cores[last]):
+                break
+        if last == first:
+            continue
+        starts, at = {}, 0
+        for j in range(first, last + 1):
+            starts[at] = j
+            at += len(cores[j]) + 1
+        ends = {a + len(cores[j]): j for a, j in starts.items()}
+        for word, a, b in lexicon.segments(" ".join(cores[first : last + 1]), 24.0 + 6.0 * (last - first)) or ():
+            if a in starts and b in ends and ends[b] > starts[a] and len(word) > 4:
+                done = ends[b]
+                yield starts[a], ends[b], word
+
+
 def _whole_words(lines: list[str]) -> set[str]:
     found: set[str] = set()
     carried = False
@@ -205,16 +267,23 @@ def line_defects(lexicon: Lexicon, lines: list[str]) -> Iterator[tuple[int, str]
         if skip_first:
             chunks = chunks[1:]
         skip_first = False
-        pieces = broken_word(line, lines[i + 1]) if i + 1 < len(lines) else None
+        following = lines[i + 1] if i + 1 < len(lines) else ""
+        pieces = broken_word(line, following)
         if pieces:
             skip_first = True
             chunks = chunks[:-1]
             if joined(lexicon, *pieces):
                 yield i, "hyphen"
+        elif unbroken(lexicon, line, following):
+            skip_first = True
+            chunks = chunks[:-1]
+            yield i, "hyphen"
         if CLAUSE.search(line) or _SECTION.match(line):
             continue
         if any(misread_word(lexicon, p) for c in chunks for p in letters(c)):
             yield i, "misread"
+        elif any((n := confusions("".join(chunks[a : b + 1]).strip(_EDGE).lower(), w)) and 2 * n <= len(w) + 1 for a, b, w in rejoined(lexicon, chunks)):
+            yield i, "misread"
 
 
 def misread_word(lexicon: Lexicon, word: str) -> bool:
@@ -361,16 +430,23 @@ def _spelled(meant: str, read: str) -> str:
 def repaired_words(lexicon: Lexicon, text: str) -> str:
     """The words of a paragraph's line stream, decoded where they are unknown."""
     out = []
-    for m in _CHUNK.finditer(text):
-        chunk = m.group()
+    chunks = _CHUNK.findall(text)
+    for a, b, word in [*rejoined(lexicon, chunks)][::-1]:
+        read = " ".join(chunks[a : b + 1])
+        core = read.strip(_EDGE)
+        chunks[a : b + 1] = [read.replace(core, _spelled(word, core), 1)]
+    for chunk in chunks:
         core = chunk.strip(_EDGE)
         if not core or CLAUSE.search(chunk):
             out.append(chunk)
             continue
         parts = HYPHENS.split(core)
         fixed = [_spelled(lexicon.corrected(p.lower()), p) if misread_word(lexicon, p.lower()) else p for p in parts]
-        if len(parts) == 1 and fixed == parts and core.islower() and core.isalpha() and len(core) > 5 and core not in lexicon.pages and (words := lexicon.decode(core)):
-            fixed = [" ".join(words)]
+        if len(parts) == 1 and fixed == parts and (core.islower() or (core.istitle() or core.isupper()) and len(core) > 8) and core.isalpha() and len(core) > 5 and core.lower() not in lexicon.pages and (words := lexicon.decode(core.lower())):
+            # a capitalised one may be a name, so that its words must stand there as they are
+            if core.islower() or "".join(words) == core.lower():
+                fixed = [" ".join(w.upper() if core.isupper() else w for w in words)]
+                fixed = [fixed[0][:1].upper() + fixed[0][1:]] if core[:1].isupper() else fixed
         marks = HYPHENS.findall(core)
         whole = "".join(x + y for x, y in zip(fixed, [*marks, ""]))
         out.append(chunk.replace(core, whole, 1))

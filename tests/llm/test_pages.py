@@ -151,6 +151,14 @@ def test_line_defects():
     assert broken_word("no hyphen", "here") is None and broken_word("end-", "") is None
 
 
+def test_words_in_pieces_and_in_one():
+    lex = lexicon()
+    lines = ["The contractor shall inspect every sched", "ule before the terms until order", "during the nu rnber modern", "and so inc lude Korralton", "Base before"]
+    assert sorted(line_defects(lex, lines)) == [(0, "hyphen"), (2, "misread")]
+    text = "The contractor shall inspect every sched\nule before the terms inc lude (man ual), Thecontractor Korralton shall.\nTHE NU RNBER."
+    assert repaired_page(lex, text, set()) == "The contractor shall inspect every schedule before the terms include (manual), The contractor Korralton shall. THE NUMBER."
+
+
 def test_headers_and_page_numbers(spark):
     body = ["the contractor shall inspect every schedule", "before the order until terms during number", "modern manual include every terms until"]
     rows = []
