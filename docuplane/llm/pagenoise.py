@@ -259,8 +259,12 @@ def _whole_words(lines: list[str]) -> set[str]:
     return found
 
 
-def line_defects(lexicon: Lexicon, lines: list[str]) -> Iterator[tuple[int, str]]:
-    """``(line, 'hyphen' or 'misread')`` of a page's lines."""
+def line_defects(lexicon: Lexicon, lines: list[str], open_cases: list[tuple[int, str, str]] | None = None) -> Iterator[tuple[int, str]]:
+    """``(line, 'hyphen' or 'misread')`` of a page's lines.
+
+    ``open_cases`` takes ``(line, defect, word)`` of what hangs on words that are not in
+    the lexicon: words broken over a line end, and unknown single words.
+    """
     skip_first = False
     for i, line in enumerate(lines):
         chunks = line.split()
@@ -274,6 +278,8 @@ def line_defects(lexicon: Lexicon, lines: list[str]) -> Iterator[tuple[int, str]
             chunks = chunks[:-1]
             if joined(lexicon, *pieces):
                 yield i, "hyphen"
+            elif open_cases is not None:
+                open_cases.append((i, "hyphen", "".join(pieces)))
         elif unbroken(lexicon, line, following):
             skip_first = True
             chunks = chunks[:-1]
@@ -284,6 +290,8 @@ def line_defects(lexicon: Lexicon, lines: list[str]) -> Iterator[tuple[int, str]
             yield i, "misread"
         elif any((n := confusions("".join(chunks[a : b + 1]).strip(_EDGE).lower(), w)) and 2 * n <= len(w) + 1 for a, b, w in rejoined(lexicon, chunks)):
             yield i, "misread"
+        elif open_cases is not None:
+            open_cases.extend((i, "misread", p) for p in {p for c in chunks for p in letters(c)} if len(p) > 2 and _unknown(lexicon, p))
 
 
 def misread_word(lexicon: Lexicon, word: str) -> bool:
@@ -362,15 +370,52 @@ def lexicon_of(table: DataFrame, min_share: float = 0.001, least: int = 3) -> Le
 
 
 def _text_defects(lexicon):
+    """Defects, and with a ``word`` the open cases and their shape."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(page_id, i, what) for page_id, text in zip(*[c.to_pylist() for c in batch.columns]) if text and page_id is not None for i, what in line_defects(lexicon.value, text.split("\n"))]
-            ids, lines, what = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(what, pa.string())], names=["page_id", "line_no", "defect"])
+            rows = []
+            for page_id, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if text and page_id is not None:
+                    cases: list[tuple[int, str, str]] = []
+                    rows.extend((page_id, i, what, None, None) for i, what in line_defects(lexicon.value, text.split("\n"), cases))
+                    rows.extend((page_id, i, what, w, shape(w)) for i, what, w in cases)
+            columns = zip(*rows) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))], names=["page_id", "line_no", "defect", "word", "shape"])
 
     return run
 
 
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shape(w) for w in batch.column(0).to_pylist()], pa.string())], names=["meant", "n", "shape"])
+
+
+def _misread_as(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yes = [2 * (n or 99) <= len(meant) + 1 for n, meant in ((confusions(w, m), m) for w, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))]
+        yield batch.filter(pa.array(yes, pa.bool_())).select(["word", "meant"])
+
+
+def rare_cases(cases: DataFrame, table: DataFrame, ratio: float = 20.0) -> DataFrame:
+    """``page_id, line_no, defect`` of the open cases that the words of all pages decide,
+    however few pages hold the word.
+
+    A broken word stands whole elsewhere, as it is or as what it was misread from. An
+    unknown word is a misreading of a word of its shape if it holds a character that is
+    no letter, or is on ``ratio`` times fewer pages.
+    """
+    words = table.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"))
+    asked = cases.select("defect", "word", "shape").distinct()
+    shaped = words.mapInArrow(_shapes, "meant string, n long, shape string")
+    whole = asked.where("defect = 'hyphen'").join(words, "word", "left_semi").select("defect", "word")
+    own = asked.join(words.select("word", F.col("n").alias("own")), "word", "left")
+    alike = own.join(shaped, "shape").where(F.col("word") != F.col("meant")).where(~F.col("word").rlike(r"^\p{L}+$") | (F.col("n") >= ratio * F.coalesce("own", F.lit(1))))
+    pairs = alike.select("word", "meant").distinct().mapInArrow(_misread_as, "word string, meant string")
+    read = asked.join(pairs, "word", "left_semi").select("defect", "word")
+    return cases.join(whole.unionByName(read).distinct(), ["defect", "word"], "left_semi").select("page_id", "line_no", "defect")
+
+
 def _scan(pages: DataFrame, text: str) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col(text).cast("string").alias("text"))
     return stage_table(rows.mapInArrow(_edges_and_words, EDGE), "edges-and-words")
@@ -387,7 +432,10 @@ def page_defects(pages: DataFrame, *, text: str = "text_plain", min_share: float
     table = _scan(pages, text)
     marks = edge_marks(table)
     lexicon = pages.sparkSession.sparkContext.broadcast(lexicon_of(table, min_share))
-    inside = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(text).cast("string").alias("text")).mapInArrow(_text_defects(lexicon), "page_id long, line_no int, defect string")
+    inside = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(text).cast("string").alias("text")).mapInArrow(_text_defects(lexicon), "page_id long, line_no int, defect string, word string, shape string")
+    inside = stage_table(inside, "line-defects")
+    rare = rare_cases(inside.where("word IS NOT NULL"), table)
+    inside = inside.where("word IS NULL").select("page_id", "line_no", "defect").unionByName(rare)
     misread = inside.join(marks.select("page_id", "line_no"), ["page_id", "line_no"], "left_anti")
     return misread.unionByName(marks).distinct()
 

@@ -159,6 +159,15 @@ def test_words_in_pieces_and_in_one():
     assert repaired_page(lex, text, set()) == "The contractor shall inspect every schedule before the terms include (manual), The contractor Korralton shall. THE NUMBER."
 
 
+def test_words_of_few_pages(spark):
+    plain = "the contractor shall inspect every order"
+    texts = ["we saw the gazebo here", "near the gaz-\nebo there", "by the g@zebo there", "the tone-\nless end", "by the gazeho there"] + [plain] * 45
+    rows = [(i, None, 1, t, None, None, None) for i, t in enumerate(texts)]
+    got = {(x["page_id"], x["line_no"], x["defect"]) for x in page_defects(spark.createDataFrame(rows, PAGE), min_share=0.2).collect()}
+    # one page against one: either spelling of the last may be meant
+    assert got == {(1, 0, "hyphen"), (2, 0, "misread")}
+
+
 def test_headers_and_page_numbers(spark):
     body = ["the contractor shall inspect every schedule", "before the order until terms during number", "modern manual include every terms until"]
     rows = []
