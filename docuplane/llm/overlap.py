@@ -8,13 +8,16 @@ make a record's overlap fraction.
 Frequent chunks (boilerplate) would pair everything with everything. The index
 therefore takes a record's chunks from the rarest on, and leaves out the most frequent
 ones as long as their total length stays below ``min_overlap`` of the record: of all
-chunks two records share the rarest is then in the index of both, so no pair that
-reaches the fraction is lost.
+chunks two records share the first in that order is then in the index of both, so no
+pair that reaches the fraction is lost. The same holds for any order that all records
+share; the better it knows what is frequent, the fewer pairs are proposed. The order
+comes from counts of all records' chunks and runs in ``SLOTS`` slots, a sketch whose
+size does not depend on the data and which needs no shuffle of digests.
 
 Scattered edits can break most chunks of a pair whose word runs are still mostly the
-same. ``shared_run_pairs`` therefore has the same index over overlapping runs of words,
-which loses no pair of a given Jaccard coefficient: such a pair shares at least that
-fraction of the runs of both.
+same. With ``run_width`` the operator therefore indexes, in the same way, the runs that
+a pair of a given Jaccard coefficient must share, which loses no such pair; its
+fractions are then measured over the chunks like any other's.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docuplane.llm.shingles import WordHashes, mixed, run_hashes, word_hashes
@@ -33,6 +35,9 @@ from docuplane.session import stage_table
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 2**64)
+#: Slots of the count sketch, whatever the data: 8 MB once merged.
+SLOTS = 1 << 23
+_BLOCK = 1 << 16
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -61,11 +66,19 @@ def chunk_record(words: np.ndarray, mask: int = 3, shortest: int = 3) -> tuple[n
     return digest, np.diff(at)
 
 
-def _chunks(mask: int, shortest: int, min_words: int):
+def _slots(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(11)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _chunks(mask: int, shortest: int, min_words: int, width: int | None):
+    """Chunks of each record; at a task's end its counts of chunks and runs by slot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
+            seen = []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = word_hashes(text, known)
                 if ident is None or len(words) < max(1, min_words):
@@ -75,14 +88,106 @@ def _chunks(mask: int, shortest: int, min_words: int):
                 whole = (words * _powers(_BASE, len(words))).sum(dtype=np.uint64) ^ np.uint64(len(words))
                 for out, x in zip(rows, (ident, int(whole.astype(np.int64)), len(words), distinct.view(np.int64), np.bincount(place, lengths).astype(np.int32))):
                     out.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.list_(pa.int32()))],
-                names=["id", "print", "n_words", "digests", "lengths"],
-            )
+                seen.append(_slots(distinct))
+                if width:
+                    seen.append(_slots(run_hashes(words, width)))
+            if seen:
+                at, n = np.unique(np.concatenate(seen), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+            yield _chunk_batch(*rows, *[[None] * len(rows[0])] * 2)
+        if counts.any():
+            blocks = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, _BLOCK)
+            n = len(blocks)
+            yield _chunk_batch(*[[None] * n] * 5, list(range(n)), [b.tobytes() for b in blocks])
+
+    return run
+
+
+CHUNKS = "id long, print long, n_words int, digests array<long>, lengths array<int>, block int, counts binary"
+
+
+def _chunk_batch(*columns: list) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "print", "n_words", "digests", "lengths", "block", "counts"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[block] = total.get(block, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
+    levels = [np.minimum(255, np.rint(8 * np.log2(1 + n))).astype(np.uint8).tobytes() for n in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], names=["block", "level"])
+
+
+def slot_levels(table: DataFrame) -> np.ndarray:
+    """How frequent what falls into each slot is, on a scale of logarithms. What reaches
+    the driver are ``SLOTS`` bytes."""
+    blocks = table.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_merged, "block int, level binary")
+    levels = np.zeros(SLOTS, np.uint8).reshape(-1, _BLOCK)
+    for r in blocks.collect():
+        levels[r["block"]] = np.frombuffer(r["level"], np.uint8)
+    return levels.reshape(-1)
+
+
+def _rarest_first(digests: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return np.lexsort((digests, levels[_slots(digests.view(np.uint64))]))
+
+
+def _chunk_index(min_overlap: float, mutual: bool, levels):
+    """A record's chunks without the most frequent ones, of below ``min_overlap`` of it in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sides, ns = (batch.column(i).to_pylist() for i in range(3))
+            keys: list[np.ndarray] = []
+            for side, n, digests, lengths in zip(sides, ns, batch.column(3), batch.column(4)):
+                d, length = (np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in (digests, lengths))
+                order = _rarest_first(d, levels.value)
+                rest = np.cumsum(length[order][::-1])[::-1]
+                keys.append(d[order] if side == 1 and not mutual else d[order][rest >= min_overlap * n])
+            n = np.array([len(k) for k in keys], np.int64)
+            digest = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(np.array(sides, np.int32), n))], names=["digest", "id", "side"])
+
+    return run
+
+
+def _run_index(width: int, min_words: int, threshold: float, levels):
+    """The runs of a record, from the rarest on, until what is left is too little for the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for ident, side, text in zip(*[c.to_pylist() for c in batch.columns]):
+                words = word_hashes(text, known)
+                if ident is None or len(words) < max(width, min_words):
+                    continue
+                runs = run_hashes(words, width)
+                n = len(runs)
+                kept = n - int(np.ceil(threshold * n - 1e-6)) + 1
+                runs = runs.view(np.int64)
+                runs = runs[_rarest_first(runs, levels.value)[:kept]]
+                for x, v in zip(out, (runs, np.full(kept, ident, np.int64), np.full(kept, side, np.int32), np.full(kept, n, np.int32), np.arange(n, n - kept, -1, dtype=np.int32))):
+                    x.append(v)
+            kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, t)) for x, t in zip(out, kinds)], names=["digest", "id", "side", "n", "rest"])
 
     return run
 
 
+def _fractions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What part of each record of a pair lies in chunks that both have."""
+    for batch in batches:
+        over: tuple[list[float], list[float]] = ([], [])
+        for n_a, d_a, l_a, n_b, d_b, l_b in zip(*(batch.column(i) for i in range(3, 9))):
+            a, la, b, lb = (x.values.to_numpy(zero_copy_only=False) for x in (d_a, l_a, d_b, l_b))
+            over[0].append(float(la[np.isin(a, b)].sum()) / n_a.as_py())
+            over[1].append(float(lb[np.isin(b, a)].sum()) / n_b.as_py())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(x, pa.float64()) for x in over)], names=["rep_a", "rep_b", "by_runs", "overlap_a", "overlap_b"])
+
+
 @dataclass(frozen=True)
 class Overlaps:
     """``members``: ``id, rep, side``; ``pairs``: ``rep_a, rep_b, overlap_a, overlap_b``
@@ -92,97 +197,59 @@ class Overlaps:
     pairs: DataFrame
 
 
-def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "id", text_col: str = "text", min_overlap: float = 0.2, mutual: bool = True, mask: int = 3, shortest: int = 3, min_words: int = 1) -> Overlaps:
+def _across(index: DataFrame, *keep: str) -> DataFrame:
+    """Rows of both sides that meet in a digest. The one index is shuffled once: what a
+    side is, is asked of both rows together, so that no filter makes two plans of it."""
+    a = index.select("digest", *[F.col(c).alias(f"{c}_a") for c in ("id", "side", *keep)])
+    b = index.select("digest", *[F.col(c).alias(f"{c}_b") for c in ("id", "side", *keep)])
+    sides = F.col("side_a").bitwiseAND(F.lit(1)) + F.col("side_b").bitwiseAND(F.lit(2))
+    return a.join(b, "digest").where((sides == 3) & (F.col("id_a") != F.col("id_b")))
+
+
+def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "id", text_col: str = "text", min_overlap: float = 0.2, mutual: bool = True, mask: int = 3, shortest: int = 3, min_words: int = 1, run_width: int | None = None, run_threshold: float = 0.6) -> Overlaps:
     """Records of side ``a`` and of side ``b`` that share chunks of at least
     ``min_overlap`` of the record of side ``b``, and of that of side ``a`` too unless
-    ``mutual`` is off.
+    ``mutual`` is off. With ``run_width`` also every pair whose sets of runs of that many
+    words can have a Jaccard coefficient of ``run_threshold``, whatever its fractions.
 
     ``records`` has a unique id and a text, ``sides`` an ``id`` and a ``side``, 'a' or
     'b'; a record may be on both. A fraction is the total length of the record's chunks
     found in the other record, over its words. Records of equal words are one class,
     which is joined once however many they are. Records without words, an id or a side
     are in no pair; repeated rows of ``sides`` count once; texts are read whole; an
-    empty side gives no pairs. The texts themselves are never shuffled.
+    empty side gives no pairs. Other columns are not read, whatever their names.
     """
+    spark = records.sparkSession
     placed = sides.select(F.col("id").cast("long").alias("id"), "side").where(F.col("side").isin("a", "b")).distinct()
     texts = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = stage_table(texts.mapInArrow(_chunks(mask, shortest, min_words), "id long, print long, n_words int, digests array<long>, lengths array<int>"), "chunks")
+    written = stage_table(texts.mapInArrow(_chunks(mask, shortest, min_words, run_width), CHUNKS), "chunks")
+    levels = spark.sparkContext.broadcast(slot_levels(written))
+    table = written.where("block IS NULL").select("id", "print", "n_words", "digests", "lengths")
     prints = placed.join(table.select("id", "print"), "id")
     classes = prints.groupBy("print").agg(F.min("id").alias("rep"))
     members = stage_table(prints.join(classes, "print").select("id", "rep", "side"), "members")
-    on = members.select(F.col("rep").alias("id"), "side").distinct()
-    each = on.join(table, "id").select("id", (F.col("side") == "a").alias("a"), "n_words", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("id", "a", "n_words", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
-    same = W.partitionBy("digest")
-    shared = each.withColumns({"na": F.count_if("a").over(same), "nb": F.count_if(~F.col("a")).over(same)}).where("na > 0 AND nb > 0")
-    shared = stage_table(shared, "shared-chunks")
-    # one order of all chunks for both sides, from the rarest on
-    rarest = W.partitionBy("id", "a").orderBy(F.col("na") + F.col("nb"), "digest").rowsBetween(0, W.unboundedFollowing)
-    indexed = shared.withColumn("rest", F.sum("length").over(rarest)).where((F.col("rest") >= min_overlap * F.col("n_words")) | (F.col("a") if not mutual else F.lit(False)))
-    b = indexed.where(~F.col("a")).select("digest", F.col("id").alias("id_b"))
-    a = indexed.where("a").select("digest", F.col("id").alias("id_a"))
-    met = a.join(b, "digest").where("id_a <> id_b").select("id_a", "id_b").distinct()
-    # a record's chunks that both sides have; no more than the record has chunks
-    own = shared.groupBy("id", "digest").agg(F.first("n_words").alias("n_words"), F.first("length").alias("length"))
-    own = own.groupBy("id").agg(F.first("n_words").alias("n"), F.collect_list("digest").alias("d"), F.collect_list(F.struct("digest", "length")).alias("c"))
-    ca, cb = (own.select(*[F.col(x).alias(f"{x}_{s}") for x in ("id", "n", "d", "c")]) for s in "ab")
-    both = met.join(ca, "id_a").join(cb, "id_b")
-
-    def fraction(of: str, other: str):
-        total = F.aggregate(F.filter(f"c_{of}", lambda c: F.array_contains(F.col(f"d_{other}"), c["digest"])), F.lit(0), lambda t, c: t + c["length"])
-        return total / F.col(f"n_{of}")
-
-    near = both.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"), fraction("a", "b").alias("overlap_a"), fraction("b", "a").alias("overlap_b")).where((F.col("overlap_b") >= min_overlap) & ((F.col("overlap_a") >= min_overlap) | F.lit(not mutual)))
-    twice = on.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select(F.col("id").alias("rep_a"), F.col("id").alias("rep_b"), F.lit(1.0).alias("overlap_a"), F.lit(1.0).alias("overlap_b"))
+    on = members.groupBy(F.col("rep").alias("id")).agg(F.bit_or(F.when(F.col("side") == "a", 1).otherwise(2)).alias("side"))
+    chunks = on.join(table, "id").select("id", "side", "n_words", "digests", "lengths").mapInArrow(_chunk_index(min_overlap, mutual, levels), "digest long, id long, side int")
+    met = _across(chunks).select("id_a", "id_b").distinct().withColumn("by_runs", F.lit(False))
+    if run_width:
+        runs = texts.join(on, "id").select("id", "side", "text").mapInArrow(_run_index(run_width, min_words, run_threshold, levels), "digest long, id long, side int, n int, rest int")
+        alike = _across(runs, "n", "rest").where(F.least("n_a", "n_b") >= run_threshold * F.greatest("n_a", "n_b") - 1e-6)
+        # all shared runs up to the last that both have indexed are counted; after it there are at most as many as the shorter rest
+        most = F.count(F.lit(1)) + F.min(F.least("rest_a", "rest_b")) - 1
+        reach = alike.groupBy("id_a", "id_b").agg(most.alias("most"), F.first(F.col("n_a") + F.col("n_b")).alias("n")).where(F.col("most") >= run_threshold / (1 + run_threshold) * F.col("n") - 1e-6)
+        met = met.unionByName(reach.select("id_a", "id_b", F.lit(True).alias("by_runs"))).groupBy("id_a", "id_b").agg(F.bool_or("by_runs").alias("by_runs"))
+    ca, cb = (table.select(*[F.col(x).alias(f"{x}_{s}") for x in ("id", "n_words", "digests", "lengths")]) for s in "ab")
+    both = met.join(ca, "id_a").join(cb, "id_b").select("id_a", "id_b", "by_runs", *[f"{x}_{s}" for s in "ab" for x in ("n_words", "digests", "lengths")])
+    shared = both.mapInArrow(_fractions, "rep_a long, rep_b long, by_runs boolean, overlap_a double, overlap_b double")
+    near = shared.where(F.col("by_runs") | ((F.col("overlap_b") >= min_overlap) & ((F.col("overlap_a") >= min_overlap) | F.lit(not mutual)))).drop("by_runs")
+    twice = on.where("side = 3").select(F.col("id").alias("rep_a"), F.col("id").alias("rep_b"), F.lit(1.0).alias("overlap_a"), F.lit(1.0).alias("overlap_b"))
     return Overlaps(members, near.unionByName(twice))
 
 
 def member_pairs(found: Overlaps, pairs: DataFrame) -> DataFrame:
-    """``id_a, id_b`` of different records in the given pairs of classes ``rep_a, rep_b``; as
-    large as a result of pairs demands."""
+    """``id_a, id_b`` of different records in the given pairs of classes ``rep_a, rep_b``, with
+    what other columns the pairs have; as large as a result of pairs demands."""
     m = found.members
     a = m.where("side = 'a'").select(F.col("rep").alias("rep_a"), F.col("id").alias("id_a"))
     b = m.where("side = 'b'").select(F.col("rep").alias("rep_b"), F.col("id").alias("id_b"))
-    return pairs.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").where("id_a <> id_b").select("id_a", "id_b")
-
-
-def _runs(width: int, min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            ids, runs = [], []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word_hashes(text, known)
-                if ident is None or len(words) < max(width, min_words):
-                    continue
-                ids.append(ident)
-                runs.append(run_hashes(words, width))
-            n = np.array([len(x) for x in runs], np.int64)
-            digests = np.concatenate(runs).view(np.int64) if runs else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(digests)], names=["id", "n", "digest"])
-
-    return run
-
-
-def shared_run_pairs(records: DataFrame, members: DataFrame, *, id_col: str = "id", text_col: str = "text", width: int = 3, threshold: float = 0.6, min_words: int = 1) -> DataFrame:
-    """``rep_a, rep_b``: candidates among which is every pair of classes of different
-    sides whose sets of runs of ``width`` words have a Jaccard coefficient of at least
-    ``threshold``.
-
-    ``members`` are those of ``cross_split_overlap``. Runs are taken from the rarest on,
-    until what is left is too little for the threshold.
-    """
-    on = members.groupBy("rep").agg(F.bool_or(F.col("side") == "a").alias("a"), F.bool_or(F.col("side") == "b").alias("b"))
-    texts = records.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(on.select("rep"), "rep", "left_semi").select("rep", "text")
-    runs = texts.mapInArrow(_runs(width, min_words), "id long, n int, digest long")
-    each = runs.join(on.withColumnRenamed("rep", "id"), "id")
-    same = W.partitionBy("digest")
-    shared = each.withColumns({"na": F.count_if("a").over(same), "nb": F.count_if("b").over(same)}).where("na > 0 AND nb > 0 AND na + nb > 1")
-    rarest = W.partitionBy("id").orderBy(F.col("na") + F.col("nb"), "digest").rowsBetween(0, W.unboundedFollowing)
-    indexed = shared.withColumn("rest", F.count(F.lit(1)).over(rarest)).where(F.col("rest") >= threshold * F.col("n") - 1e-6)
-    indexed = stage_table(indexed.select("id", "n", "a", "b", "digest", F.col("rest").cast("int").alias("rest")), "shared-runs")
-    a, b = (indexed.where(x).select("digest", *[F.col(c).alias(f"{to}_{x}") for c, to in (("id", "rep"), ("n", "n"), ("rest", "rest"))]) for x in "ab")
-    met = a.join(b, "digest").where("rep_a <> rep_b")
-    # every shared run up to the last that both have indexed is counted; after it there are at most as many as the shorter rest
-    most = F.count(F.lit(1)) + F.min(F.least("rest_a", "rest_b")) - 1
-    reach = met.groupBy("rep_a", "rep_b").agg(most.alias("most"), F.first(F.col("n_a") + F.col("n_b")).alias("n"))
-    return reach.where(F.col("most") >= threshold / (1 + threshold) * F.col("n") - 1e-6).select("rep_a", "rep_b")
+    return pairs.join(a, "rep_a").join(b, "rep_b").where("id_a <> id_b").drop("rep_a", "rep_b")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docuplane.llm.neardup import Signature, all_pairs, group_ids, near_duplicates
-from docuplane.llm.overlap import chunk_record, cross_split_overlap, member_pairs, shared_run_pairs
+from docuplane.llm.overlap import chunk_record, cross_split_overlap, member_pairs
 from docuplane.llm.page_queries import p5_found
 from docuplane.llm.pagenoise import Lexicon, broken_word, confusions, header_key, line_defects, page_defects, paragraph_breaks, repaired_page, repaired_pages
 from docuplane.llm.shingles import WordHashes, jaccard, run_hashes, word_hashes
@@ -113,11 +113,11 @@ def test_scattered_edits_across_splits(spark, tmp_path):
     spark.createDataFrame([("d0", "Train "), ("d1", "dev")], "doc_id string, split string").write.parquet(f"{tmp_path}/doc_splits.parquet")
     want = {(j, i) for i, j in brute(texts, 3, 0.6) if i % 2 != j % 2}
     want = {(min(x), max(x)) for x in want}
-    members = spark.createDataFrame([(i, i, "ab"[i % 2]) for i in range(len(texts))], "id long, rep long, side string")
-    met = shared_run_pairs(pages, members, id_col="page_id", text_col="text_plain")
-    assert want <= {(min(x), max(x)) for x in met.collect()}
+    sides = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(len(texts))], "id long, side string")
+    met = cross_split_overlap(pages, sides, id_col="page_id", text_col="text_plain", run_width=3, run_threshold=0.6).pairs
+    assert want <= {(min(x["rep_a"], x["rep_b"]), max(x["rep_a"], x["rep_b"])) for x in met.collect()}
     assert {tuple(x) for x in p5_found(spark, str(tmp_path)).collect()} == want and len(want) > 50
-    gate = cross_split_overlap(pages, members.select("id", "side"), id_col="page_id", text_col="text_plain", min_overlap=0.2, min_words=30)
+    gate = cross_split_overlap(pages, sides, id_col="page_id", text_col="text_plain", min_overlap=0.2, min_words=30)
     assert want - {(min(x), max(x)) for x in gate.pairs.select("rep_a", "rep_b").collect()}
 
 
