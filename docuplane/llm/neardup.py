@@ -55,9 +55,11 @@ class Signature:
 
 
 def signature_symbols(runs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 16-bit symbol for each multiplier; the minimum is taken over the high bits."""
-    lows = (runs[None, :] * a[:, None] + b[:, None]).min(axis=1)
-    return (mixed(lows) & np.uint64(0xFFFF)).astype(np.uint16)
+    """One 16-bit symbol for each multiplier; the minimum is taken over the high bits.
+    Very long texts are taken in slices, so that no large matrix is made."""
+    lows = [(runs[None, i : i + 4096] * a[:, None] + b[:, None]).min(axis=1) for i in range(0, len(runs), 4096)]
+    low = lows[0] if len(lows) == 1 else np.minimum.reduce(lows)
+    return (mixed(low) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def _signatures(shape: Signature):
@@ -73,10 +75,7 @@ def _signatures(shape: Signature):
                 runs = run_hashes(words, min(shape.width, len(words)))
                 ids.append(ident)
                 prints.append(int((mixed(runs).sum(dtype=np.uint64) ^ np.uint64(len(runs))).astype(np.int64)))
-                # very long texts are taken in slices, so that no large matrix is made
-                lows = [(runs[None, i : i + 4096] * a[:, None] + b[:, None]).min(axis=1) for i in range(0, len(runs), 4096)]
-                low = lows[0] if len(lows) == 1 else np.minimum.reduce(lows)
-                sigs.append((mixed(low) & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
+                sigs.append(signature_symbols(runs, a, b).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "print", "sig"])
 
     return run
@@ -91,7 +90,7 @@ def _entries(shape: Signature):
             n = batch.num_rows
             if not n:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, sides = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, shape.chunks, shape.symbols).astype(np.uint64)
             keys, outs = [], []
             for k, c in enumerate(kept):
@@ -105,7 +104,7 @@ def _entries(shape: Signature):
                 outs.append(out.astype(np.int64) if k else np.full((n, shape.chunks), -1, np.int64))
             key = np.stack(keys, 1).reshape(-1).view(np.int64)
             out = np.stack(outs, 1).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids, shape.chunks * len(kept))), pa.array(out)], names=["key", "rep", "out"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids, shape.chunks * len(kept))), pa.array(out), pa.array(np.repeat(sides.astype(np.int32), shape.chunks * len(kept)))], names=["key", "rep", "out", "side"])
 
     return run
 
@@ -128,6 +127,29 @@ class NearDuplicates:
     links: DataFrame
 
 
+def signature_pairs(signed: DataFrame, shape: Signature, threshold: float, max_distance: int | None = None) -> DataFrame:
+    """``id_a, id_b`` of signatures that meet in an entry and differ in at most
+    ``max_distance`` symbols, ``id_a < id_b``.
+
+    ``signed``: ``rep`` (unique), ``sig``, and a ``side`` of 1, 2 or 3 where only pairs
+    across two sides are wanted (3: on both); then ``id_a`` is on the first. The bound
+    on the distance only spares exact measurements: it is set five deviations beyond
+    the mean of a pair at the threshold, unless given. Pairs within the certain
+    distance all meet; of those between it and the bound, see ``Signature``.
+    """
+    across = "side" in signed.columns
+    entries = signed.select("rep", "sig", F.col("side").cast("int") if across else F.lit(3).alias("side")).mapInArrow(_entries(shape), "key long, rep long, out long, side int")
+    left = entries.select("key", F.col("rep").alias("id_a"), F.col("out").alias("oa"), F.col("side").alias("s_a"))
+    right = entries.select("key", F.col("rep").alias("id_b"), F.col("out").alias("ob"), F.col("side").alias("s_b"))
+    # sides are asked of both rows together, so that the one table of entries is shuffled once
+    wanted = (F.col("s_a").bitwiseAND(F.lit(1)) + F.col("s_b").bitwiseAND(F.lit(2)) == 3) & (F.col("id_a") != F.col("id_b")) if across else F.col("id_a") < F.col("id_b")
+    met = left.join(right, "key").where(wanted & ((F.col("oa") == -1) | (F.col("oa") != F.col("ob")))).select("id_a", "id_b").distinct()
+    a, b = (signed.select(F.col("rep").alias(f"id_{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
+    far = met.join(a, "id_a").join(b, "id_b")
+    beyond = max_distance if max_distance is not None else int(shape.size * (1 - threshold) + 5 * (shape.size * threshold * (1 - threshold)) ** 0.5)
+    return far.select("id_a", "id_b", "sa", "sb").mapInArrow(_distance, "id_a long, id_b long, distance int").where(F.col("distance") <= max(beyond, 0)).select("id_a", "id_b")
+
+
 def near_duplicates(texts: DataFrame, *, id_col: str = "id", text_col: str = "text", threshold: float = 0.8, shape: Signature | None = None, max_distance: int | None = None) -> NearDuplicates:
     """Classes of equal texts and all links between them with a similarity of at least
     ``threshold``, the Jaccard coefficient of their runs of ``shape.width`` words.
@@ -144,15 +166,7 @@ def near_duplicates(texts: DataFrame, *, id_col: str = "id", text_col: str = "te
     classes = signed.groupBy("print").agg(F.min(F.struct("id", "sig")).alias("r"))
     members = signed.select("id", "print").join(classes.select("print", F.col("r.id").alias("rep")), "print").select("id", "rep")
     reps = classes.select(F.col("r.id").alias("rep"), F.col("r.sig").alias("sig"))
-    entries = reps.mapInArrow(_entries(shape), "key long, rep long, out long")
-    left = entries.select("key", F.col("rep").alias("id_a"), F.col("out").alias("oa"))
-    right = entries.select("key", F.col("rep").alias("id_b"), F.col("out").alias("ob"))
-    met = left.join(right, "key").where((F.col("id_a") < F.col("id_b")) & ((F.col("oa") == -1) | (F.col("oa") != F.col("ob")))).select("id_a", "id_b").distinct()
-    sig = signed.select("id", "sig")
-    far = met.join(sig.select(F.col("id").alias("id_a"), F.col("sig").alias("sa")), "id_a").join(sig.select(F.col("id").alias("id_b"), F.col("sig").alias("sb")), "id_b")
-    # differing symbols of a pair at the threshold, and five deviations more: what lies beyond is no case
-    beyond = max_distance if max_distance is not None else int(shape.size * (1 - threshold) + 5 * (shape.size * threshold * (1 - threshold)) ** 0.5)
-    near = far.select("id_a", "id_b", "sa", "sb").mapInArrow(_distance, "id_a long, id_b long, distance int").where(F.col("distance") <= max(beyond, 0)).select("id_a", "id_b")
+    near = signature_pairs(reps, shape, threshold, max_distance)
     near = stage_table(near, "candidates")
     links = exact_jaccard(near, rows, shape.width).where(F.col("jaccard") >= threshold)
     return NearDuplicates(members, links)

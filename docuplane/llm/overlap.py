@@ -11,13 +11,13 @@ ones as long as their total length stays below ``min_overlap`` of the record: of
 chunks two records share the first in that order is then in the index of both, so no
 pair that reaches the fraction is lost. The same holds for any order that all records
 share; the better it knows what is frequent, the fewer pairs are proposed. The order
-comes from counts of all records' chunks and runs in ``SLOTS`` slots, a sketch whose
+comes from counts of all records' chunks in ``SLOTS`` slots, a sketch whose
 size does not depend on the data and which needs no shuffle of digests.
 
-Scattered edits can break most chunks of a pair whose word runs are still mostly the
-same. With ``run_width`` the operator therefore indexes, in the same way, the runs that
-a pair of a given Jaccard coefficient must share, which loses no such pair; its
-fractions are then measured over the chunks like any other's.
+Scattered edits can break most chunks of a short pair whose word runs are still mostly
+the same. With a ``signature`` the operator therefore takes, besides, the pairs that a
+Hamming join of signatures over the runs proposes; their fractions are measured over
+the chunks like any other's. A pair is then missed only if both indexes miss it.
 """
 
 from __future__ import annotations
@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docuplane.llm.neardup import Signature, signature_pairs, signature_symbols
 from docuplane.llm.shingles import WordHashes, mixed, run_hashes, word_hashes
 from docuplane.session import stage_table
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 2**64)
-#: Slots of the count sketch, whatever the data: 8 MB once merged.
-SLOTS = 1 << 23
+#: Slots of the count sketch, whatever the data: 4 MB once merged.
+SLOTS = 1 << 22
 _BLOCK = 1 << 16
 
 
@@ -70,15 +71,15 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _chunks(mask: int, shortest: int, min_words: int, width: int | None):
-    """Chunks of each record; at a task's end its counts of chunks and runs by slot."""
+def _chunks(mask: int, shortest: int, min_words: int, shape: Signature | None):
+    """Chunks and signature of each record; at a task's end its counts of chunks by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+        a, b = shape.multipliers() if shape else (None, None)
         counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            seen = []
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = word_hashes(text, known)
                 if ident is None or len(words) < max(1, min_words):
@@ -86,29 +87,27 @@ def _chunks(mask: int, shortest: int, min_words: int, width: int | None):
                 digests, lengths = chunk_record(words, mask, shortest)
                 distinct, place = np.unique(digests, return_inverse=True)
                 whole = (words * _powers(_BASE, len(words))).sum(dtype=np.uint64) ^ np.uint64(len(words))
-                for out, x in zip(rows, (ident, int(whole.astype(np.int64)), len(words), distinct.view(np.int64), np.bincount(place, lengths).astype(np.int32))):
+                sig = signature_symbols(run_hashes(words, min(shape.width, len(words))), a, b).tobytes() if shape else None
+                for out, x in zip(rows, (ident, int(whole.astype(np.int64)), len(words), distinct.view(np.int64), np.bincount(place, lengths).astype(np.int32), sig)):
                     out.append(x)
-                seen.append(_slots(distinct))
-                if width:
-                    seen.append(_slots(run_hashes(words, width)))
-            if seen:
-                at, n = np.unique(np.concatenate(seen), return_counts=True)
+            if rows[3]:
+                at, n = np.unique(_slots(np.concatenate(rows[3]).view(np.uint64)), return_counts=True)
                 counts[at] += n.astype(np.uint32)
             yield _chunk_batch(*rows, *[[None] * len(rows[0])] * 2)
         if counts.any():
             blocks = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, _BLOCK)
             n = len(blocks)
-            yield _chunk_batch(*[[None] * n] * 5, list(range(n)), [b.tobytes() for b in blocks])
+            yield _chunk_batch(*[[None] * n] * 6, list(range(n)), [x.tobytes() for x in blocks])
 
     return run
 
 
-CHUNKS = "id long, print long, n_words int, digests array<long>, lengths array<int>, block int, counts binary"
+CHUNKS = "id long, print long, n_words int, digests array<long>, lengths array<int>, sig binary, block int, counts binary"
 
 
 def _chunk_batch(*columns: list) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "print", "n_words", "digests", "lengths", "block", "counts"])
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "print", "n_words", "digests", "lengths", "sig", "block", "counts"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,30 +152,6 @@ def _chunk_index(min_overlap: float, mutual: bool, levels):
     return run
 
 
-def _run_index(width: int, min_words: int, threshold: float, levels):
-    """The runs of a record, from the rarest on, until what is left is too little for the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for ident, side, text in zip(*[c.to_pylist() for c in batch.columns]):
-                words = word_hashes(text, known)
-                if ident is None or len(words) < max(width, min_words):
-                    continue
-                runs = run_hashes(words, width)
-                n = len(runs)
-                kept = n - int(np.ceil(threshold * n - 1e-6)) + 1
-                runs = runs.view(np.int64)
-                runs = runs[_rarest_first(runs, levels.value)[:kept]]
-                for x, v in zip(out, (runs, np.full(kept, ident, np.int64), np.full(kept, side, np.int32), np.full(kept, n, np.int32), np.arange(n, n - kept, -1, dtype=np.int32))):
-                    x.append(v)
-            kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, t)) for x, t in zip(out, kinds)], names=["digest", "id", "side", "n", "rest"])
-
-    return run
-
-
 def _fractions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What part of each record of a pair lies in chunks that both have."""
     for batch in batches:
@@ -185,7 +160,7 @@ def _fractions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, la, b, lb = (x.values.to_numpy(zero_copy_only=False) for x in (d_a, l_a, d_b, l_b))
             over[0].append(float(la[np.isin(a, b)].sum()) / n_a.as_py())
             over[1].append(float(lb[np.isin(b, a)].sum()) / n_b.as_py())
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(x, pa.float64()) for x in over)], names=["rep_a", "rep_b", "by_runs", "overlap_a", "overlap_b"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(x, pa.float64()) for x in over)], names=["rep_a", "rep_b", "by_signature", "overlap_a", "overlap_b"])
 
 
 @dataclass(frozen=True)
@@ -197,20 +172,19 @@ class Overlaps:
     pairs: DataFrame
 
 
-def _across(index: DataFrame, *keep: str) -> DataFrame:
-    """Rows of both sides that meet in a digest. The one index is shuffled once: what a
-    side is, is asked of both rows together, so that no filter makes two plans of it."""
-    a = index.select("digest", *[F.col(c).alias(f"{c}_a") for c in ("id", "side", *keep)])
-    b = index.select("digest", *[F.col(c).alias(f"{c}_b") for c in ("id", "side", *keep)])
+def _across(index: DataFrame) -> DataFrame:
+    """``id_a, id_b`` of both sides that meet in a digest. The one index is shuffled once: what
+    a side is, is asked of both rows together, so that no filter makes two plans of it."""
+    a, b = (index.select("digest", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "side")]) for x in "ab")
     sides = F.col("side_a").bitwiseAND(F.lit(1)) + F.col("side_b").bitwiseAND(F.lit(2))
-    return a.join(b, "digest").where((sides == 3) & (F.col("id_a") != F.col("id_b")))
+    return a.join(b, "digest").where((sides == 3) & (F.col("id_a") != F.col("id_b"))).select("id_a", "id_b").distinct()
 
 
-def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "id", text_col: str = "text", min_overlap: float = 0.2, mutual: bool = True, mask: int = 3, shortest: int = 3, min_words: int = 1, run_width: int | None = None, run_threshold: float = 0.6) -> Overlaps:
+def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "id", text_col: str = "text", min_overlap: float = 0.2, mutual: bool = True, mask: int = 3, shortest: int = 3, min_words: int = 1, signature: Signature | None = None, threshold: float = 0.6) -> Overlaps:
     """Records of side ``a`` and of side ``b`` that share chunks of at least
     ``min_overlap`` of the record of side ``b``, and of that of side ``a`` too unless
-    ``mutual`` is off. With ``run_width`` also every pair whose sets of runs of that many
-    words can have a Jaccard coefficient of ``run_threshold``, whatever its fractions.
+    ``mutual`` is off. With ``signature`` also pairs that its join proposes for sets of
+    runs with a Jaccard coefficient of ``threshold``, whatever their fractions.
 
     ``records`` has a unique id and a text, ``sides`` an ``id`` and a ``side``, 'a' or
     'b'; a record may be on both. A fraction is the total length of the record's chunks
@@ -222,26 +196,23 @@ def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "
     spark = records.sparkSession
     placed = sides.select(F.col("id").cast("long").alias("id"), "side").where(F.col("side").isin("a", "b")).distinct()
     texts = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    written = stage_table(texts.mapInArrow(_chunks(mask, shortest, min_words, run_width), CHUNKS), "chunks")
+    written = stage_table(texts.mapInArrow(_chunks(mask, shortest, min_words, signature), CHUNKS), "chunks")
     levels = spark.sparkContext.broadcast(slot_levels(written))
-    table = written.where("block IS NULL").select("id", "print", "n_words", "digests", "lengths")
+    table = written.where("block IS NULL").select("id", "print", "n_words", "digests", "lengths", "sig")
     prints = placed.join(table.select("id", "print"), "id")
     classes = prints.groupBy("print").agg(F.min("id").alias("rep"))
     members = stage_table(prints.join(classes, "print").select("id", "rep", "side"), "members")
     on = members.groupBy(F.col("rep").alias("id")).agg(F.bit_or(F.when(F.col("side") == "a", 1).otherwise(2)).alias("side"))
     chunks = on.join(table, "id").select("id", "side", "n_words", "digests", "lengths").mapInArrow(_chunk_index(min_overlap, mutual, levels), "digest long, id long, side int")
-    met = _across(chunks).select("id_a", "id_b").distinct().withColumn("by_runs", F.lit(False))
-    if run_width:
-        runs = texts.join(on, "id").select("id", "side", "text").mapInArrow(_run_index(run_width, min_words, run_threshold, levels), "digest long, id long, side int, n int, rest int")
-        alike = _across(runs, "n", "rest").where(F.least("n_a", "n_b") >= run_threshold * F.greatest("n_a", "n_b") - 1e-6)
-        # all shared runs up to the last that both have indexed are counted; after it there are at most as many as the shorter rest
-        most = F.count(F.lit(1)) + F.min(F.least("rest_a", "rest_b")) - 1
-        reach = alike.groupBy("id_a", "id_b").agg(most.alias("most"), F.first(F.col("n_a") + F.col("n_b")).alias("n")).where(F.col("most") >= run_threshold / (1 + run_threshold) * F.col("n") - 1e-6)
-        met = met.unionByName(reach.select("id_a", "id_b", F.lit(True).alias("by_runs"))).groupBy("id_a", "id_b").agg(F.bool_or("by_runs").alias("by_runs"))
+    met = _across(chunks).withColumn("by_signature", F.lit(False))
+    if signature:
+        signed = on.join(table, "id").select(F.col("id").alias("rep"), "sig", "side")
+        alike = signature_pairs(signed, signature, threshold).withColumn("by_signature", F.lit(True))
+        met = met.unionByName(alike).groupBy("id_a", "id_b").agg(F.bool_or("by_signature").alias("by_signature"))
     ca, cb = (table.select(*[F.col(x).alias(f"{x}_{s}") for x in ("id", "n_words", "digests", "lengths")]) for s in "ab")
-    both = met.join(ca, "id_a").join(cb, "id_b").select("id_a", "id_b", "by_runs", *[f"{x}_{s}" for s in "ab" for x in ("n_words", "digests", "lengths")])
-    shared = both.mapInArrow(_fractions, "rep_a long, rep_b long, by_runs boolean, overlap_a double, overlap_b double")
-    near = shared.where(F.col("by_runs") | ((F.col("overlap_b") >= min_overlap) & ((F.col("overlap_a") >= min_overlap) | F.lit(not mutual)))).drop("by_runs")
+    both = met.join(ca, "id_a").join(cb, "id_b").select("id_a", "id_b", "by_signature", *[f"{x}_{s}" for s in "ab" for x in ("n_words", "digests", "lengths")])
+    shared = both.mapInArrow(_fractions, "rep_a long, rep_b long, by_signature boolean, overlap_a double, overlap_b double")
+    near = shared.where(F.col("by_signature") | ((F.col("overlap_b") >= min_overlap) & ((F.col("overlap_a") >= min_overlap) | F.lit(not mutual)))).drop("by_signature")
     twice = on.where("side = 3").select(F.col("id").alias("rep_a"), F.col("id").alias("rep_b"), F.lit(1.0).alias("overlap_a"), F.lit(1.0).alias("overlap_b"))
     return Overlaps(members, near.unionByName(twice))
 

@@ -45,7 +45,7 @@ def leaked_pages(spark: SparkSession, d: str) -> DataFrame:
     fractions of each that lie in chunks of both."""
     pages = read_table(spark, d, "page_texts")
     sides = split_pages(pages, read_table(spark, d, "doc_splits")).select(F.col("page_id").alias("id"), "side")
-    found = cross_split_overlap(pages, sides, id_col="page_id", text_col="text_plain", min_overlap=0.2, min_words=PAGE_SHAPE.min_words, run_width=PAGE_SHAPE.width, run_threshold=PAGE_THRESHOLD)
+    found = cross_split_overlap(pages, sides, id_col="page_id", text_col="text_plain", min_overlap=0.2, min_words=PAGE_SHAPE.min_words, signature=PAGE_SHAPE, threshold=PAGE_THRESHOLD)
     pairs = stage_table(found.pairs, "overlaps")
     differ = pairs.where("rep_a <> rep_b").select(F.col("rep_a").alias("id_a"), F.col("rep_b").alias("id_b"))
     close = exact_jaccard(differ, pages.select(F.col("page_id").alias("id"), F.col("text_plain").alias("text")), PAGE_SHAPE.width).where(F.col("jaccard") >= PAGE_THRESHOLD)

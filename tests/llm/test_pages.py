@@ -114,7 +114,7 @@ def test_scattered_edits_across_splits(spark, tmp_path):
     want = {(j, i) for i, j in brute(texts, 3, 0.6) if i % 2 != j % 2}
     want = {(min(x), max(x)) for x in want}
     sides = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(len(texts))], "id long, side string")
-    met = cross_split_overlap(pages, sides, id_col="page_id", text_col="text_plain", run_width=3, run_threshold=0.6).pairs
+    met = cross_split_overlap(pages, sides, id_col="page_id", text_col="text_plain", signature=Signature(width=3), threshold=0.6).pairs
     assert want <= {(min(x["rep_a"], x["rep_b"]), max(x["rep_a"], x["rep_b"])) for x in met.collect()}
     assert {tuple(x) for x in p5_found(spark, str(tmp_path)).collect()} == want and len(want) > 50
     gate = cross_split_overlap(pages, sides, id_col="page_id", text_col="text_plain", min_overlap=0.2, min_words=30)
