@@ -1,18 +1,19 @@
 """Passages of test items inside a training corpus, by a distributed positional index.
 
-The terms of the index are runs of ``term`` adjacent words; a posting holds a term's
-document and position and the hashes of the words around it. Every window of
-``passage`` words of a test item is represented by its rarest term, measured over the
-whole corpus, so that any document with the window has a posting under that term. The
-lists of those terms are intersected with the items' at matching offsets, and the words
-around the posting are compared with the item's on the same diagonal: an exact phrase
-is a run of at least ``passage`` equal words; two different terms of an item close to
-each other without such a run are a proximity match. For these the rarer half of the
-item's terms that the corpus has, and the rarest such term of each window, are indexed
-too, whatever else the window holds.
-
-Only terms that can occur in an item leave a scan of the corpus. They are recognised by
-a bit map of fixed size, whose chance hits the join on the full hash removes.
+The terms of the index are runs of ``term`` adjacent words; a posting is a term, a
+document and a position. One scan of the corpus stores the postings of every term that
+an item has. From them come the terms' counts in the whole corpus and all matches:
+
+* Every window of ``passage`` words of an item is looked up by its rarest term; the
+  list found is intersected, at the offset the item gives, with the list of the
+  window's second rarest term, and where both meet, with those of all terms of the item
+  on the same diagonal. Runs of consecutive positions are exact phrases, in full length.
+* For proximity, the lists of the rarer half of an item's terms, and of the rarest near
+  each position, are intersected within ``slop`` words: two terms that do not overlap,
+  in the item's order, as far apart as in the item but for ``drift`` words.
+
+Only terms that can occur in an item leave the scan. They are recognised by a bit map of
+fixed size, whose chance hits no list of an item meets.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from docuplane.llm.shingles import WordHashes, mixed, word_hashes
 from docuplane.session import stage_table
 
-#: Bits of the map, a size that does not depend on the data: 2 MB.
-MAP_BITS = 1 << 24
+#: Bits of the map, a size that does not depend on the data: 8 MB.
+MAP_BITS = 1 << 26
+_BLOCK_BYTES = 1 << 16
 
 
 def term_hashes(words: np.ndarray, term: int) -> np.ndarray:
@@ -42,151 +44,138 @@ def term_hashes(words: np.ndarray, term: int) -> np.ndarray:
     return h
 
 
-def _item_terms(term: int, around: int):
+POSTING = "term long, id long, pos int"
+
+
+def _postings(term: int, bits=None):
+    """Postings of each text's terms, of those in the bit map where one is given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, list, list] = ([], [], [])
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word_hashes(text, known)
-                if ident is None:
-                    continue
-                _postings_of(ident, words, np.arange(max(0, len(words) - term + 1)), term, around, out)
-            yield _posting_batch(out)
+                h = term_hashes(word_hashes(text, known), term)
+                at = _hits(h, bits.value) if bits is not None else np.arange(len(h))
+                if len(at):
+                    for x, v in zip(out, (h[at].view(np.int64), np.full(len(at), ident, np.int64), at.astype(np.int32))):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, t)) for x, t in zip(out, (np.int64, np.int64, np.int32))], names=["term", "id", "pos"])
 
     return run
 
 
-def _postings_of(ident: int, words: np.ndarray, at: np.ndarray, term: int, around: int, out: tuple[list, ...]) -> None:
-    if not len(at):
-        return
-    side = around - term
-    padded = np.concatenate([np.zeros(side, np.uint32), (words >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.zeros(side, np.uint32)])
-    near = np.lib.stride_tricks.sliding_window_view(padded, 2 * side + term)[at]
-    out[0].append(term_hashes(words, term)[at].view(np.int64))
-    out[1].append(np.full(len(at), ident, np.int64))
-    out[2].append(at.astype(np.int32))
-    out[3].extend(x.tobytes() for x in near)
-
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(8)) & np.uint64(MAP_BITS - 1)
 
-def _posting_batch(out: tuple[list, ...]) -> pa.RecordBatch:
-    whole = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out[:3], (np.int64, np.int64, np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array(whole[0]), pa.array(whole[1]), pa.array(whole[2]), pa.array(out[3], pa.binary())], names=["term", "id", "pos", "near"])
 
+def _map_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's bits, block after block; rows come sorted by block."""
 
-POSTING = "term long, id long, pos int, near binary"
+    def closed(block: int, bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
+    block, bits = None, None
+    for batch in batches:
+        which, slot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for b in np.unique(which):
+            if b != block:
+                if block is not None:
+                    yield closed(block, bits)
+                block, bits = int(b), np.zeros(_BLOCK_BYTES * 8, np.uint8)
+            bits[slot[which == b]] = 1
+    if block is not None:
+        yield closed(block, bits)
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(8)) & np.uint64(MAP_BITS - 1)
 
-
-def _bit_map(terms: DataFrame) -> np.ndarray:
-    """Bits of the terms' slots; what reaches the driver is at most MAP_BITS bits."""
+def bit_map(terms: DataFrame) -> np.ndarray:
+    """Bits of the terms' slots. What reaches the driver is a row a block, MAP_BITS bits in all."""
     slot = F.shiftrightunsigned("term", 8).bitwiseAND(F.lit(MAP_BITS - 1))
-    words = terms.select(F.floor(slot / 64).alias("w"), F.expr("shiftleft(1L, cast((shiftrightunsigned(term, 8) & 63) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    bits = np.zeros(MAP_BITS // 64, np.int64)
-    for r in words:
-        bits[r["w"]] = r["b"]
-    return bits.view(np.uint64)
+    per = _BLOCK_BYTES * 8
+    rows = terms.select(F.floor(slot / per).cast("int").alias("block"), (slot % per).cast("int").alias("slot")).distinct()
+    blocks = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_map_blocks, "block int, bits binary")
+    bits = np.zeros(MAP_BITS // 8, np.uint8).reshape(-1, _BLOCK_BYTES)
+    for r in blocks.collect():
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.reshape(-1)
 
 
 def _hits(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     s = _slot(h)
-    return np.flatnonzero((bits[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1))
-
-
-def _counts(term: int, bits):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = WordHashes(), bits.value
-        for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                h = term_hashes(word_hashes(text, known), term)
-                if len(h):
-                    found.append(h[_hits(h, table)])
-            if found:
-                values, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["term", "n"])
-
-    return run
-
-
-def _document_postings(term: int, around: int, bits):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = WordHashes(), bits.value
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word_hashes(text, known)
-                if ident is not None and len(words) >= term:
-                    _postings_of(ident, words, _hits(term_hashes(words, term), table), term, around, out)
-            yield _posting_batch(out)
-
-    return run
-
-
-def _runs(term: int, around: int):
-    """Length and start, from the term on backwards, of the run of equal words around it."""
-    side = around - term
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(n, -1) for i in (4, 5))
-            same = (x == y) & (x != 0)
-            back = np.where(same[:, :side].all(axis=1), side, np.argmin(same[:, :side][:, ::-1], axis=1)) if side else np.zeros(n, int)
-            on = np.where(same[:, side:].all(axis=1), side + term, np.argmin(same[:, side:], axis=1))
-            length = np.where(on >= term, back + on, 0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(length.astype(np.int32))], names=["id", "item_id", "pos", "term", "run"])
-
-    return run
-
-
-def leaked_passages(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 12, term: int = 3, slop: int = 40, proximity: bool = True) -> DataFrame:
+    return np.flatnonzero((bits[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+
+
+def _two_rarest(ranked: DataFrame, passage: int, term: int) -> DataFrame:
+    """``item_id, pos, term, to_pos, to_term``: of every window of the item, all of whose terms
+    the corpus has, the rarest term and the second rarest. Windows share most of theirs."""
+    window = W.partitionBy("id").orderBy("pos").rowsBetween(0, passage - term)
+    least = F.slice(F.array_sort(F.collect_list(F.struct("n", "pos", "term")).over(window)), 1, 2)
+    best = ranked.select("id", least.alias("b"), F.count(F.lit(1)).over(window).alias("k")).where(F.col("k") == passage - term + 1).where("b[0].n > 0")
+    second = F.coalesce(F.get("b", F.lit(1)), F.get("b", F.lit(0)))  # a passage of one term has no second
+    return best.select(F.col("id").alias("item_id"), F.expr("b[0].pos").alias("pos"), F.expr("b[0].term").alias("term"), second["pos"].alias("to_pos"), second["term"].alias("to_term")).distinct()
+
+
+def _phrases(index: DataFrame, ranked: DataFrame, passage: int, term: int) -> DataFrame:
+    """``id, item_id, longest_run, first_pos`` of phrases of at least ``passage`` words."""
+    pairs = _two_rarest(ranked, passage, term).alias("p")
+    first = index.alias("x").join(pairs, F.col("x.term") == F.col("p.term"))
+    wanted = first.select("x.id", "item_id", (F.col("x.pos") - F.col("p.pos")).alias("shift"), F.col("to_term").alias("term"), (F.col("x.pos") - F.col("p.pos") + F.col("to_pos")).alias("pos")).distinct()
+    diagonals = wanted.join(index, ["term", "id", "pos"]).select("id", "item_id", "shift").distinct()
+    every = ranked.where("n > 0").select(F.col("id").alias("item_id"), "term", "pos")
+    points = diagonals.join(every, "item_id").select("id", "item_id", "shift", "term", F.col("pos").alias("item_pos"), (F.col("pos") + F.col("shift")).alias("pos"))
+    on = points.join(index, ["term", "id", "pos"]).select("id", "item_id", "shift", "item_pos", "pos").distinct()
+    along = W.partitionBy("id", "item_id", "shift").orderBy("item_pos")
+    runs = on.withColumn("run", F.col("item_pos") - F.row_number().over(along)).groupBy("id", "item_id", "shift", "run").agg((F.count(F.lit(1)) + term - 1).alias("words"), F.min("pos").alias("from"))
+    return runs.where(F.col("words") >= passage).groupBy("id", "item_id").agg(F.max("words").alias("longest_run"), F.min("from").alias("first_pos"))
+
+
+def _near(index: DataFrame, ranked: DataFrame, passage: int, term: int, slop: int, drift: int) -> DataFrame:
+    """``id, item_id, first_pos`` where two rare terms of the item stand close to each other."""
+    have = ranked.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("id"))).where((F.col("k") >= passage - term + 1) & (F.col("n") > 0))
+    bars = have.select("id", "term", "n").distinct().groupBy("id").agg(F.when(F.count(F.lit(1)) > 2, F.percentile("n", F.lit(0.5))).otherwise(F.max("n")).alias("bar"))
+    rare = have.join(bars, "id").where(F.col("n") <= F.col("bar")).select(F.col("id").alias("item_id"), "term", "pos")
+    # by position, so that windows may hold terms that the corpus lacks
+    least = F.min(F.struct("n", "pos", "term")).over(W.partitionBy("id").orderBy("pos").rangeBetween(0, passage - term))
+    beside = have.select("id", least.alias("b")).select(F.col("id").alias("item_id"), F.col("b.term").alias("term"), F.col("b.pos").alias("pos"))
+    chosen = rare.unionByName(beside).distinct()
+    met = index.join(chosen.withColumnRenamed("pos", "item_pos"), "term").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    # two postings within the drift that are no overlap: else the pair is out before any postings are compared
+    by_shift = W.partitionBy("id", "item_id").orderBy("shift").rangeBetween(0, drift)
+    apart = F.greatest(F.col("pos") - F.min("pos").over(by_shift), F.max("pos").over(by_shift) - F.col("pos"))
+    open_ = met.select("id", "item_id", "pos", "shift", (apart >= term).alias("apart")).withColumn("open", F.max("apart").over(W.partitionBy("id", "item_id"))).where("open")
+    blocks = open_.select("id", "item_id", "pos", "shift", F.floor(F.col("pos") / slop).alias("block")).distinct()
+    other = blocks.select("id", "item_id", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("pos").alias("before"), F.col("shift").alias("was"))
+    close = blocks.join(other, ["id", "item_id", "block"]).where((F.col("pos") - F.col("before")).between(term, slop) & (F.abs(F.col("shift") - F.col("was")) <= drift) & (F.col("pos") - F.col("shift") > F.col("before") - F.col("was")))
+    return close.groupBy("id", "item_id").agg(F.min("before").alias("first_pos"))
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 12, term: int = 3, slop: int = 40, drift: int | None = None, proximity: bool = True) -> DataFrame:
     """``doc_id, item_id, kind, longest_run, first_pos``: documents that hold passages of items.
 
-    ``kind`` is 'phrase' where at least ``passage`` consecutive words of the item occur
-    (``longest_run`` counts to at most ``2 * passage - term``, enough to tell), else
-    'proximity' where two different rare terms of the item occur within ``slop`` words.
-    Rare are the item's terms up to its median count, of those that the corpus has, two
-    at least, and the rarest of each window. Without ``proximity`` only phrases come out.
-    Words are unbroken runs of letters and digits, case ignored, so punctuation, quotes
-    and line breaks do not matter. An item shorter than a passage, null or empty, leaks
-    nowhere. Repeated rows and equal ids count once in the result; rows without an id
-    take no part; texts are read whole. Empty tables give no rows. Other columns are
-    not read, whatever their names.
+    ``kind`` is 'phrase' where at least ``passage`` consecutive words of the item occur;
+    ``longest_run`` counts all of them. Else it is 'proximity', where two rare terms of
+    the item that do not overlap occur within ``slop`` words, in the item's order, and as
+    far apart as in the item but for ``drift`` words (``slop`` unless given). Rare are the item's terms up to its
+    median count, of those that the corpus has, two at least, and the rarest near each
+    position. Without ``proximity`` only phrases come out. Words are unbroken runs of
+    letters and digits, case ignored, so punctuation, quotes and line breaks do not
+    matter. An item shorter than a passage, null or empty, leaks nowhere. Repeated rows
+    and equal ids count once in the result; rows without an id take no part; texts are
+    read whole. Empty tables give no rows. Other columns are not read, whatever their
+    names.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).cast("string").alias("text")).dropna()
     tests = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).dropna().distinct()
-    item_terms = stage_table(tests.mapInArrow(_item_terms(term, passage), POSTING), "item-terms")
-    bits = spark.sparkContext.broadcast(_bit_map(item_terms.select("term")))
-    counts = docs.select("text").mapInArrow(_counts(term, bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    rarity = item_terms.select("term").distinct().join(counts, "term")  # what the corpus does not have cannot leak
-    # within each window of the item, the rarest term; a term the corpus lacks rules its windows out
-    per_item = W.partitionBy("id").orderBy("pos")
-    window = per_item.rowsBetween(0, passage - term)
-    ranked = item_terms.join(rarity, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    best = ranked.select("id", F.min(F.struct("n", "pos", "term", "near")).over(window).alias("b"), F.count(F.lit(1)).over(window).alias("k"))
-    anchors = best.where((F.col("k") == passage - term + 1) & (F.col("b.n") > 0)).select(F.col("id").alias("item_id"), F.col("b.pos").alias("item_pos"), F.col("b.term").alias("term"), F.col("b.near").alias("item_near")).distinct()
-    if proximity:
-        known = ranked.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("id"))).where((F.col("k") >= passage - term + 1) & (F.col("n") > 0))
-        bars = known.select("id", "term", "n").distinct().groupBy("id").agg(F.when(F.count(F.lit(1)) > 2, F.percentile("n", F.lit(0.5))).otherwise(F.max("n")).alias("bar"))
-        rare = known.join(bars, "id").where(F.col("n") <= F.col("bar")).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "term", F.col("near").alias("item_near"))
-        # by position, so that windows may hold terms that the corpus lacks
-        least = known.select("id", "k", F.min(F.struct("n", "pos", "term", "near")).over(per_item.rangeBetween(0, passage - term)).alias("b")).select(F.col("id").alias("item_id"), F.col("b.pos").alias("item_pos"), F.col("b.term").alias("term"), F.col("b.near").alias("item_near"))
-        anchors = anchors.unionByName(rare).unionByName(least).distinct()
-    anchors = stage_table(anchors, "anchors")
-    chosen = spark.sparkContext.broadcast(_bit_map(anchors.select("term")))
-    index = docs.mapInArrow(_document_postings(term, passage, chosen), POSTING)
-    met = index.join(anchors, "term").select("id", "item_id", "pos", "term", "near", "item_near")
-    runs = met.mapInArrow(_runs(term, passage), "id long, item_id long, pos int, term long, run int")
-    # another term within slop words before, however often this one is repeated in between
-    before = W.partitionBy("id", "item_id").orderBy("pos").rangeBetween(-slop, 0)
-    close = runs.withColumn("close", F.min("term").over(before) != F.max("term").over(before)) if proximity else runs.withColumn("close", F.lit(False))
-    found = close.groupBy("id", "item_id").agg(F.max("run").alias("longest_run"), F.min("pos").alias("first_pos"), F.max(F.coalesce("close", F.lit(False))).alias("close"))
-    kind = F.when(F.col("longest_run") >= passage, "phrase").when(F.col("close"), "proximity")
-    return found.select(F.col("id").alias("doc_id"), "item_id", kind.alias("kind"), "longest_run", "first_pos").where(F.col("kind").isNotNull())
+    item_terms = stage_table(tests.mapInArrow(_postings(term), POSTING), "item-terms")
+    bits = spark.sparkContext.broadcast(bit_map(item_terms.select("term")))
+    index = stage_table(docs.mapInArrow(_postings(term, bits), POSTING), "positional-index")
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    ranked = item_terms.distinct().join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = stage_table(ranked, "ranked-terms")
+    found = stage_table(_phrases(index, ranked, passage, term), "phrases")
+    exact = found.select(F.col("id").alias("doc_id"), "item_id", F.lit("phrase").alias("kind"), F.col("longest_run").cast("int").alias("longest_run"), "first_pos")
+    if not proximity:
+        return exact
+    near = _near(index, ranked, passage, term, slop, slop if drift is None else drift).join(found.select("id", "item_id"), ["id", "item_id"], "left_anti")
+    return exact.unionByName(near.select(F.col("id").alias("doc_id"), "item_id", F.lit("proximity").alias("kind"), F.lit(None).cast("int").alias("longest_run"), "first_pos"))
