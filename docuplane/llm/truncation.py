@@ -1,12 +1,16 @@
 """Texts whose end is missing, by a structural completeness check.
 
-A stack automaton reads each text's structural tokens (quotes, brackets, markup tags)
-and its last line: what is still open at the end, a broken character or escape, an
-ellipsis in place of the rest, or a missing terminator. Lines that need no terminator
-(list items, table rows, headings, dates, signatures, other short closing lines) are
-recognised by shape. The baseline of each source then tells its field limits, lengths
-at which far more of its texts end without a terminator than at the lengths around; a
-weak closing line just at a limit counts as cut.
+A stack automaton reads each text's structural tokens (quotes of all kinds, brackets,
+markup tags) and its last line: what is still open at the end, a broken character or
+escape, an ellipsis in place of the rest, or a missing terminator. Lines that need no
+terminator (list items, table rows, headings, dates, signatures, other short closing
+lines) are recognised by shape.
+
+Two baselines of each source judge what the shape leaves open. Its field limits are the
+lengths at which far more of its texts end without a terminator than at the lengths
+around; a weak closing line just at a limit counts as cut. And its habit is how often
+its texts that are not at a limit do end in a terminator: where a source hardly ever
+sets one, a missing terminator says nothing.
 """
 
 from __future__ import annotations
@@ -21,52 +25,66 @@ from pyspark.sql import functions as F
 
 from docuplane.session import stage_table
 
-_STRUCTURE = re.compile(r"[()\[\]{}“”«»]|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?(/?)>|\n\s*\n")
+_STRUCTURE = re.compile(r"[()\[\]{}“”«»\"]|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?(/?)>|\n\s*\n")
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 # Elements that are never closed.
 _VOID = frozenset({"br", "hr", "img", "input", "meta", "link", "wbr", "col", "area", "base", "source"})
-_TERMINATED = re.compile(r"[.!?。！？…]['\"”’»)\]]*$")
-_ELLIPSIS = re.compile(r"\w\s?(?:\.\.\.|…)$")
-_BROKEN = re.compile(r"(?:�|[\ud800-\udbff]|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?\w{1,7}|%[0-9A-F]?|<[/a-zA-Z][^<>]{0,200}|=[0-9A-F]?=?)$")
+_CLOSERS = "'\"”’»)]"
+_TERMINATORS = ".!?。！？…"
+_ELLIPSIS = re.compile(r"\w\s?(?:\.\.\.|…)\Z")
+_BROKEN = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&#?\w{1,7}|%[0-9A-F]?|=[0-9A-F]?=?)\Z")
+_OPEN_TAG = re.compile(r"<(?:/?[a-zA-Z][\w:-]*(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"<>]*\"?|'[^'<>]*'?|[^\s<>\"']*))?)*\s*/?|/)?\Z")
 _AMPERSAND_WORD = re.compile(r"\w&\w*$")
 _ITEM = re.compile(r"^\s*(?:\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}\)|[-–•*‣▪·o])\s+\S")
 _ROW = re.compile(r"^\s*\|.*\|$|^[^\t]*\t.*$")
 _OPEN_ROW = re.compile(r"^\s*\|.*[^|]$")
 _DATE = re.compile(r"^\W*(?:[A-Za-z]+,? )?(?:\d{1,2}(?:st|nd|rd|th)? [A-Za-z]{3,9}\.?,? \d{4}|[A-Za-z]{3,9}\.? \d{1,2}(?:st|nd|rd|th)?, \d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\W*$")
-_FIELD = re.compile(r"^[A-Z][\w /.#-]{0,40}:\s*\S+(?:\s\S+){0,3}$")
-# Words that open a sentence and so never make up a signature or heading by themselves.
-_OPENERS = frozenset("a all an any as at both before by during each el en every for from if in la las los no of on one one's or our please the their these this those to two under unless until upon when where while with within works your".split())
+# a field: a label of at most three words and a value of at most four
+_FIELD = re.compile(r"^[A-Z][\w/.#-]*(?: [\w/.#-]+){0,2}:\s*\S+(?:\s\S+){0,3}$")
+# Words that headings leave in lower case.
 _SMALL = frozenset("a an and de for in of on or the to y".split())
 
 
 def _titled(line: str) -> bool:
     """A signature or a heading: capitals only, or at least two capitalised words."""
     words = re.findall(r"[^\W\d_][\w'’/-]*", line)
-    if not words or len(line) > 100:
+    if not words:
         return False
     if line.upper() == line and len(max(words, key=len)) > 1:
         return True
     main = [w for w in words if w.lower() not in _SMALL]
-    return len(main) > 1 and words[0].lower() not in _OPENERS and all(w[:1].isupper() for w in main)
+    return len(main) > 1 and words[0][:1].isupper() and all(w[:1].isupper() for w in main)
 
 
 def structure_state(text: str) -> str:
-    """How a text ends: 'complete', 'closing', 'item', or a reason why it is cut."""
+    """How a text ends: 'complete', 'closing', 'heading' (also signatures and fields), 'item',
+    or a reason why it is cut."""
     body = text.rstrip()
     if not body:
         return "complete"
-    tail = body[-400:]
     line = body[body.rfind("\n") + 1 :]
-    if tail[-1] == "�" or "\ud800" <= tail[-1] <= "\udbff":
+    if body[-1] == "�" or "\ud800" <= body[-1] <= "\udbff":
         return "broken"
-    if _BROKEN.search(tail) and not _AMPERSAND_WORD.search(tail):
+    # escapes are as short as their patterns, so that they lie in the last word; a tag begins at the last '<'
+    word = line.split()[-1]
+    if _BROKEN.search(word) and not _AMPERSAND_WORD.search(word):
         return "broken"
-    if _ELLIPSIS.search(tail):
+    opened = body.rfind("<")
+    if opened > body.rfind(">") and _OPEN_TAG.match(body, opened):
+        return "broken"
+    if _ELLIPSIS.search(body, max(0, len(body) - 5)):
         return "ellipsis"
     stack: list[tuple[str, bool]] = []
     for m in _STRUCTURE.finditer(body):
         token = m.group()
-        if token in "([{“«":
+        if token == '"':  # a straight quote closes the open one; it opens one only before a word and after none
+            at, end = m.span()
+            if any(x == ('"', False) for x in stack):
+                while stack.pop() != ('"', False):
+                    pass
+            elif (not at or body[at - 1].isspace() or body[at - 1] in "([{—–-") and end < len(body) and not body[end].isspace():
+                stack.append((token, False))
+        elif token in "([{“«":
             stack.append((token, False))
         elif token in _PAIRS:
             if stack and stack[-1][0] == _PAIRS[token]:
@@ -84,7 +102,7 @@ def structure_state(text: str) -> str:
             stack = [x for x in stack if x[1]]
     if any(not tag for _, tag in stack):
         return "unclosed"
-    if _TERMINATED.search(tail):
+    if body.rstrip(_CLOSERS)[-1:] in tuple(_TERMINATORS):
         return "unclosed" if stack else "complete"
     if _ROW.match(line) or _DATE.match(line):
         return "closing"
@@ -95,7 +113,7 @@ def structure_state(text: str) -> str:
     if body.endswith(">") and not stack:
         return "complete"
     if _FIELD.match(line) or _titled(line):
-        return "closing"
+        return "heading"
     return "no terminator"
 
 
@@ -109,13 +127,16 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 CUT = ("broken", "ellipsis", "unclosed", "open row", "no terminator")
+#: States that a length at a limit of the source turns into a cut.
+WEAK = ("item", "heading")
 
 
 def field_limits(states: DataFrame, *, least: int = 4, factor: float = 8.0, around: int = 60) -> DataFrame:
     """``source, unit, field_limit, n_at_limit``: lengths at which a source cuts.
 
     A limit has at least ``least`` unterminated texts of exactly that length, and
-    ``factor`` times as many as a length within ``around`` of it has on the average.
+    ``factor`` times as many as a length within ``around`` of it has on the average; six
+    deviations of that average come on top of ``least``, so that no chance makes a limit.
     """
     cut = states.where(F.col("state").isin(*CUT))
     lengths = cut.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("l")).groupBy("source", "l.unit", "l.length").agg(F.count(F.lit(1)).alias("n"))
@@ -123,25 +144,45 @@ def field_limits(states: DataFrame, *, least: int = 4, factor: float = 8.0, arou
     peak = lengths.withColumn("others", (F.sum("n").over(beside) - F.col("n")) / (2.0 * around))
     # the bytes a cut inside a character leaves, and blanks taken off, fall just below a limit
     peak = peak.withColumn("above", F.sum("n").over(W.partitionBy("source", "unit").orderBy("length").rangeBetween(1, 4)))
-    found = peak.where((F.col("n") >= least) & (F.col("n") >= factor * (F.col("others") - F.coalesce("above", F.lit(0)) / (2.0 * around))) & (F.coalesce("above", F.lit(0)) <= F.col("n")))
+    mean = F.greatest(F.col("others") - F.coalesce("above", F.lit(0)) / (2.0 * around), F.lit(0.0))
+    found = peak.where((F.col("n") >= least + 6 * F.sqrt(mean)) & (F.col("n") >= factor * mean) & (F.coalesce("above", F.lit(0)) <= F.col("n")))
     return found.select("source", "unit", F.col("length").alias("field_limit"), F.col("n").alias("n_at_limit"))
 
 
-def truncated_texts(rows: DataFrame, *, text: str = "text", source: Column | None = None, row_id: str = "doc_id") -> DataFrame:
+def _lengths() -> Column:
+    return F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("l")
+
+
+def terminator_habit(states: DataFrame, at_limit: DataFrame, prior: float = 5.0) -> DataFrame:
+    """``source, habit``: how often the source's texts that are at no limit end in a
+    terminator, of those that end in running text; drawn to the rate of all sources as
+    if ``prior`` more texts had it, so that a few texts decide nothing."""
+    free = states.where(F.col("state").isin("complete", "no terminator") & (F.col("n_chars") > 0)).join(at_limit, states["id"] == at_limit["at_id"], "left_anti")
+    n = free.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "complete").alias("k"))
+    every = n.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
+    return n.join(F.broadcast(every)).select("source", ((F.col("k") + prior * F.try_divide("all_k", "all_n")) / (F.col("n") + prior)).alias("habit"))
+
+
+def truncated_texts(rows: DataFrame, *, text: str = "text", source: Column | None = None, row_id: str = "doc_id", least_habit: float = 0.2) -> DataFrame:
     """``id, source, state, n_chars, n_bytes, at_limit, truncated`` for every row.
 
-    ``source``: the normal form of a row's source; null is a source of its own. Null
-    and empty texts are not truncated; their state is null and 'complete'. Rows repeat
-    as they do in the table, texts are read whole, very long ones too; an empty table
-    gives no rows. Other columns are not read, whatever their names.
+    ``source``: the normal form of a row's source; null is a source of its own. A text
+    without a terminator is truncated unless fewer than ``least_habit`` of its source's
+    texts set one and its length is no limit of the source; if all sources were like
+    that, none of their texts would be. Null and empty texts are not truncated; their
+    state is null and 'complete'. Rows repeat as they do in the table, texts are read
+    whole, very long ones too; an empty table gives no rows. Other columns are not read,
+    whatever their names.
     """
     src = source if source is not None else F.lit(None).cast("string")
     read = rows.select(F.col(row_id).alias("id"), F.coalesce(src, F.lit("")).alias("source"), F.col(text).cast("string").alias("text"))
     kind = read.schema["id"].dataType.simpleString()
     states = stage_table(read.mapInArrow(_states, f"id {kind}, source string, state string, n_chars long, n_bytes long"), "text-states")
     limits = field_limits(states)
-    near = states.where(F.col("state").isin("item")).select("id", "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))).alias("l"))
+    near = states.where(F.col("state").isin("no terminator", *WEAK)).select("id", "source", "state", _lengths())
     at = near.join(limits, (near["source"] == limits["source"]) & (F.col("l.unit") == limits["unit"]) & F.col("l.length").between(limits["field_limit"] - 1, limits["field_limit"])).select(F.col("id").alias("at_id")).distinct()
-    judged = states.join(at, F.col("id") == F.col("at_id"), "left")
+    at = stage_table(at, "texts-at-limits")
+    judged = states.join(at, F.col("id") == F.col("at_id"), "left").join(terminator_habit(states, at), "source", "left")
     at_limit = F.col("at_id").isNotNull()
-    return judged.select("id", F.when(F.col("source") != "", F.col("source")).alias("source"), "state", "n_chars", "n_bytes", at_limit.alias("at_limit"), F.coalesce(F.col("state").isin(*CUT) | at_limit, F.lit(False)).alias("truncated"))
+    cut = F.col("state").isin(*[x for x in CUT if x != "no terminator"]) | at_limit | ((F.col("state") == "no terminator") & (F.coalesce("habit", F.lit(1.0)) >= least_habit))
+    return judged.select("id", F.when(F.col("source") != "", F.col("source")).alias("source"), "state", "n_chars", "n_bytes", at_limit.alias("at_limit"), F.coalesce(cut, F.lit(False)).alias("truncated"))

@@ -112,9 +112,11 @@ def test_mix_of_texts(spark):
 
 STATES = {
     "A whole sentence.": "complete", "": "complete", "He said “done.”": "complete", "Cut in mid": "no terminator", "Cut in mid wor...": "ellipsis", "broken ch�": "broken",
-    "All done.\n(b) usable liner": "item", "All done.\n| 1 | desk | 4 EA |": "closing", "All done.\n| 1 | de": "open row", "Done.\n12 May 2020": "closing", "Done.\nContracting Officer, Harbor Works Bureau": "closing",
-    "Done.\nEND OF SECTION": "closing", "Done.\nN/A": "closing", "Done.\nTotal lines: 8": "closing", "Done.\n\nThe vendor": "no terminator", "Done.\n\nThe": "no terminator", "see (the last part.": "unclosed",
+    "All done.\n(b) usable liner": "item", "All done.\n| 1 | desk | 4 EA |": "closing", "All done.\n| 1 | de": "open row", "Done.\n12 May 2020": "closing", "Done.\nContracting Officer, Harbor Works Bureau": "heading",
+    "Done.\nEND OF SECTION": "heading", "Done.\nN/A": "heading", "Done.\nTotal lines: 8": "heading", "Done.\n\nThe vendor": "no terminator", "Done.\n\nThe": "no terminator", "see (the last part.": "unclosed",
     "A “quote that never": "unclosed", "<p>text.</p>": "complete", "<p>text": "no terminator", "<div><p>text.": "unclosed", "R&D and so on.": "complete", "fish &am": "broken", "then \\u00": "broken", "(a) opens\n\nnew. Done.": "complete",
+    'He said "the contract is done.': "unclosed", 'He said "the contract" is done.': "complete", 'A 5" pipe and a 6" pipe.': "complete", 'He said "(see "here") now".': "complete", "x. " * 400 + "<a href='" + "y" * 600: "broken", "if a <b then " + "c " * 300 + "end.": "complete",
+    "Done.\nTwo central bearing options exist: relocate the du": "no terminator", "Done.\n" + "Harbor Works Bureau and " * 6 + "Office": "heading",
 }
 
 
@@ -139,5 +141,18 @@ def test_limits_of_a_source(spark):
     assert truncated_texts(df, source=F.col("source")).count() == len(rows)
 
 
+def test_habit_of_a_source(spark):
+    r = random.Random(4)
+
+    def text(n):
+        return " ".join(r.choice(WORDS) for _ in range(n))
+
+    # one source never sets a full stop, one of few texts has one cut, one cuts many of its texts
+    rows = [(i, text(r.randrange(10, 90)), "bare") for i in range(300)] + [(300 + i, text(r.randrange(10, 90)) + "." * (i > 0), "few") for i in range(3)] + [(400 + i, text(r.randrange(10, 90)) + "." * (i % 2), "half") for i in range(100)]
+    rows += [(600 + i, text(40) + ".", "rest") for i in range(600)]
+    got = {x["id"] for x in truncated_texts(spark.createDataFrame(rows, "doc_id long, text string, source string"), source=F.col("source")).where("truncated").collect()}
+    assert got == {300} | {400 + i for i in range(0, 100, 2)}
+
+
 def test_no_texts(spark):
     assert truncated_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
