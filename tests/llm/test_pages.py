@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docuplane.llm.neardup import Signature, all_pairs, group_ids, near_duplicates
 from docuplane.llm.overlap import chunk_record, cross_split_overlap, member_pairs
 from docuplane.llm.page_queries import p5_found
-from docuplane.llm.pagenoise import Lexicon, broken_word, confusions, header_key, line_defects, page_defects, paragraph_breaks, repaired_page, repaired_pages
+from docuplane.llm.pagenoise import Lexicon, confusions, header_key, line_defects, page_defects, paragraph_breaks, repaired_page, repaired_pages
 from docuplane.llm.shingles import WordHashes, jaccard, run_hashes, word_hashes
 
 PAGE = "page_id long, doc_id string, page int, text_plain string, text_layout string, id string, sig string"
@@ -148,7 +148,7 @@ def test_confusions_and_words():
 def test_line_defects():
     lines = ["The contractor shall inspect every sched-", "ule before the terms until every long-", "term order during tbe modern number", "52.203-6 tbe schedule", "untli the order"]
     assert sorted(line_defects(lexicon(), lines)) == [(0, "hyphen"), (2, "misread")]
-    assert broken_word("no hyphen", "here") is None and broken_word("end-", "") is None
+    assert [*line_defects(lexicon(), ["no hyphen", "here end-", ""])] == []
 
 
 def test_words_in_pieces_and_in_one():
@@ -159,6 +159,21 @@ def test_words_in_pieces_and_in_one():
     assert repaired_page(lex, text, set()) == "The contractor shall inspect every schedule before the terms include (manual), The contractor Korralton shall. THE NUMBER."
 
 
+def test_joint_decoding():
+    lex = Lexicon(dict.fromkeys([*WORDS, "deliver", "be", "con", "for"], 500))
+    assert repaired_page(lex, "the con tractor shall de liver", set()) == "the contractor shall deliver"
+    assert repaired_page(lex, "every schedule be\nf0re the order", set()) == "every schedule before the order"
+    assert repaired_page(lex, "Thecontractor shall inspect", set()) == "The contractor shall inspect"
+    # blanks on the wrong side of a letter, and a name beside them
+    assert repaired_page(lex, "th econtractor Korralton shall", set()) == "the contractor Korralton shall"
+    # pieces that are all words stay, unless a hyphen says that they are pieces
+    words = Lexicon(dict.fromkeys([*WORDS, "be", "fore"], 500))
+    assert repaired_page(words, "the order be fore the", set()) == "the order be fore the"
+    assert repaired_page(words, "the order be-\nfore the", set()) == "the order before the"
+    assert sorted(line_defects(lex, ["it shall be-", "fore the", "52.203-6 tbe order", "as 52.203-6 says tbe order"])) == [(0, "hyphen"), (3, "misread")]
+    assert repaired_page(lex, "(sched-\nule), tbe.", set()) == "(schedule), the."
+
+
 def test_words_of_few_pages(spark):
     plain = "the contractor shall inspect every order"
     texts = ["we saw the gazebo here", "near the gaz-\nebo there", "by the g@zebo there", "the tone-\nless end", "by the gazeho there"] + [plain] * 45
