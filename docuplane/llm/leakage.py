@@ -88,11 +88,11 @@ def _map_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed(block, bits)
 
 
-def bit_map(terms: DataFrame) -> np.ndarray:
-    """Bits of the terms' slots. What reaches the driver is a row a block, MAP_BITS bits in all."""
-    slot = F.shiftrightunsigned("term", 8).bitwiseAND(F.lit(MAP_BITS - 1))
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """Bits of the slots of a column of hashes. What reaches the driver is a row a block, MAP_BITS bits in all."""
+    slot = F.shiftrightunsigned(keys.columns[0], 8).bitwiseAND(F.lit(MAP_BITS - 1))
     per = _BLOCK_BYTES * 8
-    rows = terms.select(F.floor(slot / per).cast("int").alias("block"), (slot % per).cast("int").alias("slot")).distinct()
+    rows = keys.select(F.floor(slot / per).cast("int").alias("block"), (slot % per).cast("int").alias("slot")).distinct()
     blocks = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_map_blocks, "block int, bits binary")
     bits = np.zeros(MAP_BITS // 8, np.uint8).reshape(-1, _BLOCK_BYTES)
     for r in blocks.collect():
@@ -105,6 +105,23 @@ def _hits(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.flatnonzero((bits[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
 
 
+def _kept(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(_hits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits.value)))
+
+    return run
+
+
+def met_postings(index: DataFrame, wanted: DataFrame, *on: str) -> DataFrame:
+    """``wanted`` joined with the postings it asks for. A bit map of what is asked for goes
+    over the index first, so that only postings that are met, and few others, are shuffled."""
+    key = (lambda: F.col(on[0])) if len(on) == 1 else (lambda: F.xxhash64(*on))
+    bits = index.sparkSession.sparkContext.broadcast(bit_map(wanted.select(key().alias("key"))))
+    near = index.select(key().alias("key"), "term", "id", "pos").mapInArrow(_kept(bits), f"key long, {POSTING}").drop("key")
+    return wanted.join(near, list(on))
+
+
 def _two_rarest(ranked: DataFrame, passage: int, term: int) -> DataFrame:
     """``item_id, pos, term, to_pos, to_term``: of every window of the item, all of whose terms
     the corpus has, the rarest term and the second rarest. Windows share most of theirs."""
@@ -117,13 +134,13 @@ def _two_rarest(ranked: DataFrame, passage: int, term: int) -> DataFrame:
 
 def _phrases(index: DataFrame, ranked: DataFrame, passage: int, term: int) -> DataFrame:
     """``id, item_id, longest_run, first_pos`` of phrases of at least ``passage`` words."""
-    pairs = _two_rarest(ranked, passage, term).alias("p")
-    first = index.alias("x").join(pairs, F.col("x.term") == F.col("p.term"))
-    wanted = first.select("x.id", "item_id", (F.col("x.pos") - F.col("p.pos")).alias("shift"), F.col("to_term").alias("term"), (F.col("x.pos") - F.col("p.pos") + F.col("to_pos")).alias("pos")).distinct()
-    diagonals = wanted.join(index, ["term", "id", "pos"]).select("id", "item_id", "shift").distinct()
-    every = ranked.where("n > 0").select(F.col("id").alias("item_id"), "term", "pos")
-    points = diagonals.join(every, "item_id").select("id", "item_id", "shift", "term", F.col("pos").alias("item_pos"), (F.col("pos") + F.col("shift")).alias("pos"))
-    on = points.join(index, ["term", "id", "pos"]).select("id", "item_id", "shift", "item_pos", "pos").distinct()
+    pairs = stage_table(_two_rarest(ranked, passage, term).withColumnRenamed("pos", "item_pos"), "rarest-terms")
+    shift = F.col("pos") - F.col("item_pos")
+    first = met_postings(index, pairs, "term").select("id", "item_id", shift.alias("shift"), F.col("to_term").alias("term"), (shift + F.col("to_pos")).alias("pos"))
+    diagonals = stage_table(met_postings(index, stage_table(first, "rarest-lists"), "term", "id", "pos").select("id", "item_id", "shift").distinct(), "diagonals")
+    every = ranked.where("n > 0").select(F.col("id").alias("item_id"), "term", F.col("pos").alias("item_pos"))
+    points = diagonals.join(every, "item_id").select("id", "item_id", "shift", "term", "item_pos", (F.col("item_pos") + F.col("shift")).alias("pos"))
+    on = met_postings(index, points, "term", "id", "pos").select("id", "item_id", "shift", "item_pos", "pos").distinct()
     along = W.partitionBy("id", "item_id", "shift").orderBy("item_pos")
     runs = on.withColumn("run", F.col("item_pos") - F.row_number().over(along)).groupBy("id", "item_id", "shift", "run").agg((F.count(F.lit(1)) + term - 1).alias("words"), F.min("pos").alias("from"))
     return runs.where(F.col("words") >= passage).groupBy("id", "item_id").agg(F.max("words").alias("longest_run"), F.min("from").alias("first_pos"))
@@ -138,7 +155,7 @@ def _near(index: DataFrame, ranked: DataFrame, passage: int, term: int, slop: in
     least = F.min(F.struct("n", "pos", "term")).over(W.partitionBy("id").orderBy("pos").rangeBetween(0, passage - term))
     beside = have.select("id", least.alias("b")).select(F.col("id").alias("item_id"), F.col("b.term").alias("term"), F.col("b.pos").alias("pos"))
     chosen = rare.unionByName(beside).distinct()
-    met = index.join(chosen.withColumnRenamed("pos", "item_pos"), "term").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    met = met_postings(index, stage_table(chosen.withColumnRenamed("pos", "item_pos"), "rare-terms"), "term").withColumn("shift", F.col("pos") - F.col("item_pos"))
     # two postings within the drift that are no overlap: else the pair is out before any postings are compared
     by_shift = W.partitionBy("id", "item_id").orderBy("shift").rangeBetween(0, drift)
     apart = F.greatest(F.col("pos") - F.min("pos").over(by_shift), F.max("pos").over(by_shift) - F.col("pos"))
