@@ -1,14 +1,15 @@
 """Passages of test items inside a training corpus, by a distributed positional index.
 
-The terms of the index are runs of ``term`` adjacent words; a posting is a term, a
-document and a position. One scan of the corpus stores the postings of every term that
+The terms of the index are runs of ``term`` adjacent words, whatever their number with the
+same phrases; the longer they are, the shorter the lists. A posting is a term, a document
+and a position. One scan of the corpus stores the postings of every term that
 an item has. From them come the terms' counts in the whole corpus and all matches:
 
 * Every window of ``passage`` words of an item is looked up by its rarest term; the
   list found is intersected, at the offset the item gives, with the list of the
   window's second rarest term, and where both meet, with those of all terms of the item
   on the same diagonal. Runs of consecutive positions are exact phrases, in full length.
-* For proximity, the lists of the rarer half of an item's terms, and of the rarest near
+* For proximity, in an index of shorter terms, the lists of the rarer half of an item's terms, and of the rarest near
   each position, are intersected within ``slop`` words: two terms that do not overlap,
   in the item's order, as far apart as in the item but for ``drift`` words.
 
@@ -166,12 +167,23 @@ def _near(index: DataFrame, ranked: DataFrame, passage: int, term: int, slop: in
     return close.groupBy("id", "item_id").agg(F.min("before").alias("first_pos"))
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 12, term: int = 3, slop: int = 40, drift: int | None = None, proximity: bool = True) -> DataFrame:
+def positional_index(docs: DataFrame, tests: DataFrame, term: int) -> tuple[DataFrame, DataFrame]:
+    """The postings ``term, id, pos`` of all documents' terms that an item has, and the items'
+    terms ``term, id, pos, n`` with their numbers of postings."""
+    item_terms = stage_table(tests.mapInArrow(_postings(term), POSTING), "item-terms")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(item_terms.select("term")))
+    index = stage_table(docs.mapInArrow(_postings(term, bits), POSTING), "positional-index")
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    ranked = item_terms.distinct().join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return index, stage_table(ranked, "ranked-terms")
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 12, term: int = 6, near_term: int = 3, slop: int = 40, drift: int | None = None, proximity: bool = True) -> DataFrame:
     """``doc_id, item_id, kind, longest_run, first_pos``: documents that hold passages of items.
 
     ``kind`` is 'phrase' where at least ``passage`` consecutive words of the item occur;
     ``longest_run`` counts all of them. Else it is 'proximity', where two rare terms of
-    the item that do not overlap occur within ``slop`` words, in the item's order, and as
+    the item, of ``near_term`` words, that do not overlap occur within ``slop`` words, in the item's order, and as
     far apart as in the item but for ``drift`` words (``slop`` unless given). Rare are the item's terms up to its
     median count, of those that the corpus has, two at least, and the rarest near each
     position. Without ``proximity`` only phrases come out. Words are unbroken runs of
@@ -181,18 +193,13 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, doc_id: str = "do
     read whole. Empty tables give no rows. Other columns are not read, whatever their
     names.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).cast("string").alias("text")).dropna()
     tests = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).dropna().distinct()
-    item_terms = stage_table(tests.mapInArrow(_postings(term), POSTING), "item-terms")
-    bits = spark.sparkContext.broadcast(bit_map(item_terms.select("term")))
-    index = stage_table(docs.mapInArrow(_postings(term, bits), POSTING), "positional-index")
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    ranked = item_terms.distinct().join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ranked = stage_table(ranked, "ranked-terms")
-    found = stage_table(_phrases(index, ranked, passage, term), "phrases")
+    term = min(term, passage)
+    found = stage_table(_phrases(*positional_index(docs, tests, term), passage, term), "phrases")
     exact = found.select(F.col("id").alias("doc_id"), "item_id", F.lit("phrase").alias("kind"), F.col("longest_run").cast("int").alias("longest_run"), "first_pos")
     if not proximity:
         return exact
-    near = _near(index, ranked, passage, term, slop, slop if drift is None else drift).join(found.select("id", "item_id"), ["id", "item_id"], "left_anti")
+    near_term = min(near_term, passage)
+    near = _near(*positional_index(docs, tests, near_term), passage, near_term, slop, slop if drift is None else drift).join(found.select("id", "item_id"), ["id", "item_id"], "left_anti")
     return exact.unionByName(near.select(F.col("id").alias("doc_id"), "item_id", F.lit("proximity").alias("kind"), F.lit(None).cast("int").alias("longest_run"), "first_pos"))
