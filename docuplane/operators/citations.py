@@ -90,7 +90,7 @@ def mentions(pages: DataFrame, registry: DataFrame | None = None, text: str = "t
     m = number_matches(pages, text)
     sub = found(F.col("rest"), P.SUBPARAGRAPH)
     sub_len = F.length(F.regexp_extract("rest", P.SUBPARAGRAPH, 0))
-    m = m.withColumns({"subpara": sub, "end2": F.col("end") + sub_len, "after": F.expr("substring(rest, length(regexp_extract(rest, '^\\\\s?((?:\\\\([A-Za-z0-9]{1,4}\\\\))+)', 0)) + 1)")})
+    m = m.withColumns({"subpara": sub, "end2": F.col("end") + sub_len, "after": F.substr("rest", sub_len + 1)})
     head = F.expr("substring(line, 1, match_start)")
     left = F.expr("substring(line, 1, start)")
     own = named_month(found(F.col("after"), P.DATED))
