@@ -53,16 +53,28 @@ def verdict(q: Column, t: float) -> Column:
 
 def number_features(mentions: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     """One row a document and number: both probabilities, counts by source, means and the largest score of each role."""
-    best = [ledger_probabilities(mentions, mode).groupBy("doc_id", "number").agg(F.max("q").alias(name)) for mode, name in (("max", "qmax"), ("noisy_or", "qnor"))]
-    sums = mentions.groupBy("doc_id", "number").agg(
+    entries = mentions.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("source") == "model").alias("n_model"),
         F.count_if(F.col("source") != "model").alias("n_rule"),
-        F.avg("b").alias("bp_mean"),
+        F.sum("b").alias("_sum"),
+        F.count("b").alias("_with"),
         F.min("b").alias("bp_min"),
-        *[F.coalesce(F.max(F.when(F.col("role") == r, F.col("b"))), F.lit(0.0)).alias(f"max_{r.lower()}") for r in roles],
+        F.max("b").alias("_max"),
+        F.product(1 - F.col("b")).alias("_none"),
+        F.product(1 - F.coalesce("e", F.lit(0.0))).alias("_kept"),
+        *[F.max(F.when(F.col("role") == r, F.col("b"))).alias(f"max_{r.lower()}") for r in roles],
+    )
+    # what excludes a number is the same for all its alternates, so it comes out of the maximum
+    kept = F.product("_kept")
+    return entries.groupBy("doc_id", "number").agg(
+        *[F.sum(c).alias(c) for c in ("n", "n_model", "n_rule")],
+        F.try_divide(F.sum("_sum"), F.sum("_with")).alias("bp_mean"),
+        F.min("bp_min").alias("bp_min"),
+        *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in (f"max_{r.lower()}" for r in roles)],
+        (F.max("_max") * kept).alias("qmax"),
+        (F.max(1 - F.col("_none")) * kept).alias("qnor"),
     )
-    return sums.join(best[0], ["doc_id", "number"]).join(best[1], ["doc_id", "number"])
 
 
 def decided_by(mentions: DataFrame) -> DataFrame:
@@ -89,14 +101,14 @@ def preceding_headings(lines: DataFrame, k: int = 3) -> DataFrame:
     """For each line the last k headings strictly before it in its document, oldest first.
 
     ``lines``: ``doc_id, page, line_no, heading`` (null where a line is none)."""
-    order = W.partitionBy("doc_id").orderBy("page", "line_no")
-    place = F.sum(F.when(F.col("heading").isNotNull(), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, -1))
-    numbered = lines.withColumn("_n", F.coalesce(place, F.lit(0)))
-    heads = numbered.where(F.col("heading").isNotNull()).select("doc_id", (F.col("_n") + 1).alias("_h"), F.col("heading").alias("_text"))
-    # an equality join on the ordinals wanted, k rows at most for each line
-    wanted = numbered.select("doc_id", "page", "line_no", F.explode(F.expr(f"sequence(_n - {k - 1}, _n)")).alias("_h"))
-    got = wanted.join(heads, ["doc_id", "_h"]).groupBy("doc_id", "page", "line_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("_h", "_text"))), lambda s: s["_text"]).alias("breadcrumb"))
-    return lines.select("doc_id", "page", "line_no").join(got, ["doc_id", "page", "line_no"], "left").withColumn("breadcrumb", F.coalesce("breadcrumb", F.array().cast("array<string>")))
+    before = W.partitionBy("doc_id").orderBy("page", "line_no").rowsBetween(W.unboundedPreceding, -1)
+    # a heading's own chain is itself and the chain before it, one longer in each of k windows over one sort
+    chained = lines.select("doc_id", "page", "line_no", "heading").withColumn("_c", F.array().cast("array<string>"))
+    for _ in range(k):
+        own = F.when(F.col("heading").isNotNull(), F.concat("_c", F.array("heading")))
+        chained = chained.withColumn("_h", own).withColumn("_c", F.coalesce(F.last("_h", ignorenulls=True).over(before), F.array().cast("array<string>")))
+    n = F.size("_c")
+    return chained.select("doc_id", "page", "line_no", F.when(n > k, F.slice("_c", n - k + 1, F.lit(k))).otherwise(F.col("_c")).alias("breadcrumb"))
 
 
 def context_window(lines: DataFrame, before: int = 5, after: int = 2, partition: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -85,13 +85,24 @@ def version_in_force(events: DataFrame, versions: DataFrame) -> DataFrame:
     """``events`` with the ``clause_date`` in force on ``day``: of the closed intervals
     that hold the day the earliest beginning; null where none does.
 
-    An equality join on the number with a range residue; versions of a number are as
-    many as its changes."""
+    An equality join on the number with a range residue, once for each number and day
+    that occur; the events get it by these two, so that no row needs an id."""
     v = versions.select("number", "valid_from", "valid_to", F.col("clause_date").alias("_cd"))
-    e = events.withColumn("_row", F.monotonically_increasing_id())
-    hit = e.select("_row", "number", "day").join(v, "number").where((F.col("valid_from") <= F.col("day")) & (F.col("day") <= F.coalesce("valid_to", F.lit(OPEN_END))))
-    first = hit.groupBy("_row").agg(F.min(F.struct("valid_from", "_cd")).alias("_f")).select("_row", F.col("_f._cd").alias("clause_date"))
-    return e.join(first, "_row", "left").drop("_row")
+    asked = events.select("number", "day").dropna().distinct()
+    hit = asked.join(v, "number").where((F.col("valid_from") <= F.col("day")) & (F.col("day") <= F.coalesce("valid_to", F.lit(OPEN_END))))
+    first = hit.groupBy("number", "day").agg(F.min(F.struct("valid_from", "_cd")).alias("_f")).select("number", "day", F.col("_f._cd").alias("clause_date"))
+    return events.join(first, ["number", "day"], "left").select(*events.columns, "clause_date")
+
+
+def seen_on_day(intervals: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``intervals`` with ``present``: whether the section is in the snapshot of the day on
+    which the interval begins; null where there is no snapshot of that day at all.
+
+    ``intervals``: ``number, effective_from``; ``snapshots``: ``number, day``."""
+    seen = snapshots.select("number", F.col("day").alias("effective_from")).distinct().withColumn("_seen", F.lit(True))
+    days = snapshots.select(F.col("day").alias("effective_from")).distinct().withColumn("_taken", F.lit(True))
+    both = intervals.join(seen, ["number", "effective_from"], "left").join(days, "effective_from", "left")
+    return both.select(*intervals.columns, F.when(F.col("_taken"), F.coalesce("_seen", F.lit(False))).alias("present"))
 
 
 def currency(known: Column, cited: Column, in_force: Column) -> Column:

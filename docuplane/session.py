@@ -50,10 +50,12 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and recorded in the setting.
+    A cluster names it in ``spark.checkpoint.dir``; one that does not is refused. Only on
+    one machine, as in tests, a temporary folder is made and recorded in the setting.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not (spark.sparkContext.master or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="docuplane-")
         spark.conf.set("spark.checkpoint.dir", found)

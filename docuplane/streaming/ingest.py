@@ -34,8 +34,10 @@ def windowed_counts_of(spark: SparkSession, folder: str, name: str, size: str =
     base = f"{application_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = windowed_counts(stream, size).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    # only windows that changed leave a batch, and closed ones leave the state; the last batch of a window holds it
+    query = windowed_counts(stream, size).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    last = spark.read.parquet(f"{base}/out").groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("w"))
+    return last.select("start", "event_type", "w.n", "w.total")
