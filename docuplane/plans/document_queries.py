@@ -15,7 +15,7 @@ from docuplane.operators import ledger as L
 from docuplane.operators import registry as R
 from docuplane.operators import roles as B
 from docuplane.operators import sections as S
-from docuplane.plans.registry_queries import _NUMBER, P2_SQL, section_versions
+from docuplane.plans.registry_queries import _CITED, _NUMBER, P2_SQL, section_versions
 from docuplane.session import read_table
 
 QUERIES: dict = {}
@@ -107,12 +107,34 @@ def first_on_line(spark: SparkSession, d: str) -> DataFrame:
 # ---- sections, lists and carried boxes
 
 
-@query()
+def _matches(pattern: str) -> str:
+    return f"regexp_matches(t, '{pattern}')"
+
+
+_STRIP = "regexp_replace({0}, '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+_LETTER_STATES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.LETTERS.items())
+#: The labels as the last event of each kind at or before a line, step by step.
+_LABELS = f"""{_LINES}, a AS (SELECT page_id, doc_id, page, line_no, {_STRIP.format("line")} AS t FROM l),
+b AS (SELECT *, {_STRIP.format(f"regexp_extract(t, '{S.SECTION}', 2)")} AS rest FROM a WHERE t <> ''),
+c AS (SELECT *, {_matches(S.SECTION)} AND (rest = '' OR regexp_matches(rest, '^[-–—:.]') OR (upper(rest) = rest AND length(rest) <= 90)) AND length(t) <= 120 AS sec, nullif(regexp_extract(t, '{S.CLAUSE_HEAD}', 1), '') AS ch FROM b),
+d AS (SELECT *, {_matches(S.TOC_HEAD)} AS th, {_matches(S.LEADER)} OR ({_matches(S.TRAILING_PAGE)} AND (sec OR ch IS NOT NULL)) AS tl, length(t) < 3 AS sh, {_matches(S.LIST_ITEM)} AS li, {_matches(S.END_OF)} AS eo, {_matches(S.MARKED_NUMBER)} AS mk,
+  CASE WHEN sec THEN CASE upper(regexp_extract(t, '{S.SECTION}', 1)) {_LETTER_STATES} ELSE 'OTHER' END WHEN {_matches(S.BY_REFERENCE)} THEN 'CLAUSE_LIST_IBR' WHEN {_matches(S.IN_FULL)} THEN 'FULL_TEXT_CLAUSE' WHEN {_matches(S.INSTRUCTIONS)} THEN 'INSTRUCTIONS' WHEN {_matches(S.EVALUATION)} THEN 'EVALUATION' WHEN {_matches(S.WORK)} THEN 'SOW' END AS mj0,
+  row_number() OVER (PARTITION BY doc_id ORDER BY page, page_id, line_no) AS i FROM c),
+e AS (SELECT *, th OR tl OR (sh AND coalesce(last_value(CASE WHEN th THEN i END IGNORE NULLS) OVER p > coalesce(last_value(CASE WHEN NOT th AND NOT tl AND NOT sh THEN i END IGNORE NULLS) OVER p, 0), false)) AS toc FROM d WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, CASE WHEN NOT toc THEN mj0 END AS mj FROM e),
+g AS (SELECT *, coalesce(last_value(mj IGNORE NULLS) OVER u, 'OTHER') AS base, coalesce(last_value(CASE WHEN mj IS NOT NULL THEN i END IGNORE NULLS) OVER u, 0) AS base_i FROM f WINDOW u AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT *, NOT toc AND mj IS NULL AND ch IS NOT NULL AND NOT li AND base IN ('FULL_TEXT_CLAUSE', 'OTHER') AS opens FROM g),
+k AS (SELECT *, CASE WHEN base = 'OTHER' AND coalesce(last_value(CASE WHEN opens THEN i END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 0) > base_i THEN 'FULL_TEXT_CLAUSE' ELSE base END AS state, CASE WHEN mj IS NOT NULL THEN '-' WHEN opens THEN ch WHEN eo AND NOT toc THEN '-' END AS event FROM h),
+n AS (SELECT *, nullif(last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '-') AS was, nullif(last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), '-') AS scope FROM k),
+o AS (SELECT *, CASE WHEN toc THEN 'TOC' WHEN mj IS NOT NULL THEN base WHEN opens THEN 'FULL_TEXT_CLAUSE' WHEN eo THEN CASE WHEN was IS NOT NULL THEN 'FULL_TEXT_CLAUSE' ELSE state END WHEN (was IN {S.CHECKLISTS} AND li) OR mk THEN 'CHECKLIST' ELSE state END AS label, th OR mj IS NOT NULL OR opens AS heading FROM n)"""
+
+
+@query(f"WITH {_LABELS} SELECT page_id, doc_id, page, line_no, label, heading, CASE WHEN label IN ('FULL_TEXT_CLAUSE', 'CHECKLIST') THEN scope END AS clause FROM o")
 def section_labels(spark: SparkSession, d: str) -> DataFrame:
     return S.section_labels(pages(spark, d)).drop("text")
 
 
-@query()
+@query(f"WITH {_LABELS} SELECT label, heading, count(*) AS n_lines, count(DISTINCT doc_id) AS n_documents FROM o GROUP BY ALL")
 def section_label_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.section_labels(pages(spark, d)).groupBy("label", "heading").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_documents"))
 
@@ -372,7 +394,10 @@ def version_in_force(spark: SparkSession, d: str) -> DataFrame:
     return R.version_in_force(_cited(spark, d).drop("cited").distinct(), _versions(spark, d)).select("cand_id", "number", "day", "clause_date")
 
 
-@query()
+@query(
+    _IN_FORCE + f", w AS ({_CITED} SELECT DISTINCT cand_id, doc_id, number, cited FROM m), {_REG.replace('r AS', 'kn AS', 1)}, j AS (SELECT w.doc_id, left(day, 4) AS era, kn.number IS NOT NULL AS known, w.cited, nullif(h.clause_date, '') AS now FROM w LEFT JOIN f USING (doc_id) LEFT JOIN h ON h.number = w.number AND day BETWEEN valid_from AND valid_to LEFT JOIN kn ON kn.number = w.number) "
+    "SELECT era, CASE WHEN NOT known THEN 'not_in_registry' WHEN cited IS NULL THEN 'no_date_cited' WHEN now IS NULL THEN 'no_version_data' WHEN cited = now THEN 'matches' WHEN cited < now THEN 'older' ELSE 'newer' END AS category, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM j GROUP BY ALL"
+)
 def currency_by_era(spark: SparkSession, d: str) -> DataFrame:
     known = _registry(spark, d).withColumn("known", F.lit(True))
     c = R.version_in_force(_cited(spark, d), _versions(spark, d)).join(known, "number", "left")

@@ -105,5 +105,16 @@ c AS (SELECT number, as_of_date, p, lag(p) OVER w AS before, row_number() OVER w
 e AS (SELECT number, as_of_date, p, lead(as_of_date) OVER (PARTITION BY number ORDER BY as_of_date) AS next_day FROM c WHERE (n = 1 OR p IS DISTINCT FROM before))
 SELECT number, as_of_date AS valid_from, coalesce(strftime(CAST(next_day AS DATE) - 1, '%Y-%m-%d'), '9999-12-31') AS valid_to FROM e WHERE p IS NOT NULL
 """
+_CITED = P1_SQL[: P1_SQL.index("f AS (SELECT doc_id")].strip().rstrip(",")
+P1_ALL_SQL = (
+    P1_SQL[: P1_SQL.index("SELECT DISTINCT cand_id, snap_id")].rstrip()
+    + " SELECT DISTINCT m.cand_id, m.doc_id, m.number, m.cited AS cited_month, CASE WHEN NOT coalesce(g.removed, false) THEN g.clause_date END AS governing_date FROM m LEFT JOIN (SELECT * FROM g WHERE k = 1) g ON g.cand_id = m.cand_id AND g.number = m.number AND g.cited IS NOT DISTINCT FROM m.cited"
+).replace("row_number() OVER (PARTITION BY m.cand_id, m.number, m.cited", "m.number, row_number() OVER (PARTITION BY m.cand_id, m.number, m.cited")
+_ALTERNATE_JSON = """'[' || array_to_string(list_transform(alternates, lambda a: '{' || concat_ws(',', '"name":"' || a.name || '"', '"date":"' || a.date || '"') || '}'), ',') || ']'"""
+P2_ALL_SQL = (
+    P2_SQL.strip()[: P2_SQL.strip().rindex("SELECT number")].rstrip()
+    + f""", a AS (SELECT {_NUMBER.format("number")} AS number, as_of_date, clause_date, title, {_ALTERNATE_JSON} AS alternates, row_number() OVER (PARTITION BY {_NUMBER.format("number")}, as_of_date ORDER BY loaded_at DESC, snap_id DESC) AS k FROM registry_snapshots)
+SELECT e.number, e.as_of_date AS valid_from, coalesce(strftime(CAST(e.next_day AS DATE) - 1, '%Y-%m-%d'), '9999-12-31') AS valid_to, a.clause_date, a.title, a.alternates FROM e JOIN a ON a.k = 1 AND a.number = e.number AND a.as_of_date = e.as_of_date WHERE e.p IS NOT NULL"""
+)
 QUERIES = {"p1_found": p1_found, "p1_governing": p1_governing, "p2_found": p2_found, "p2_history": p2_history}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL}
+SQL = {"p1_found": P1_SQL, "p1_governing": P1_ALL_SQL, "p2_found": P2_SQL, "p2_history": P2_ALL_SQL}
