@@ -100,4 +100,10 @@ SQL = {
 l AS (SELECT DISTINCT e.page_id FROM (SELECT page_id_a AS x, page_id_b AS y FROM j UNION ALL SELECT page_id_b, page_id_a FROM j) JOIN t e ON e.page_id = x AND e.split <> 'train' JOIN t r ON r.page_id = y AND r.split = 'train'),
 a AS (SELECT doc_id, min(agency) AS agency FROM filings WHERE NOT coalesce(duplicate, false) GROUP BY ALL)
 SELECT t.split, a.agency, count(*) AS n_pages, count(l.page_id) AS n_leaked FROM t LEFT JOIN a USING (doc_id) LEFT JOIN l ON l.page_id = t.page_id WHERE t.split <> 'train' GROUP BY ALL""",
+    "p4_groups": f"""WITH RECURSIVE {_RUNS}, e AS (SELECT page_id_a, page_id_b FROM k JOIN n a ON a.page_id = page_id_a JOIN n b ON b.page_id = page_id_b WHERE k = a.n AND k = b.n),
+c AS (SELECT n.page_id, coalesce(min(e.page_id_a), n.page_id) AS rep FROM n LEFT JOIN e ON e.page_id_b = n.page_id GROUP BY n.page_id),
+l AS (SELECT page_id_a AS x, page_id_b AS y FROM j JOIN c a ON a.page_id = page_id_a AND a.rep = page_id_a JOIN c b ON b.page_id = page_id_b AND b.rep = page_id_b),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r AS (SELECT rep AS x, rep AS y FROM c UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y),
+g AS (SELECT x AS rep, min(y) AS group_id FROM r GROUP BY ALL), d AS (SELECT x AS rep, count(*) AS n FROM b GROUP BY ALL)
+SELECT c.page_id, g.group_id, c.rep AS class_id, coalesce(d.n, 0) AS n_links FROM c JOIN g USING (rep) LEFT JOIN d USING (rep)""",
 }
