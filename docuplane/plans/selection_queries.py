@@ -10,6 +10,7 @@ from docuplane.operators import features as M
 from docuplane.operators import geometry as G
 from docuplane.operators import panel as P
 from docuplane.operators import registry as R
+from docuplane.operators import roles as B
 from docuplane.operators import selection as S
 from docuplane.operators.service import document_ledger
 from docuplane.plans import document_queries as D
@@ -129,6 +130,68 @@ def signals_from_json(spark: SparkSession, d: str) -> DataFrame:
     return text.select("page_id", F.explode(F.from_json("j", "map<string,int>")).alias("key", "n"))
 
 
+# ---- texts made of rows, so that each rule for text meets its cases
+
+_CONTACT = "concat('write to ', lower(replace(c_name, '#', '.')), '@mail', c_custkey % 9, '.example.com or call ', CASE WHEN c_custkey % 2 = 0 THEN '(' ELSE '' END, 200 + c_custkey % 700, CASE WHEN c_custkey % 2 = 0 THEN ') ' ELSE '-' END, 200 + c_custkey % 790, '-', 1000 + c_custkey % 9000, CASE WHEN c_custkey % 3 = 0 THEN ' ext. 12' ELSE '' END, ' on 252.204-7012 and ', c_custkey)"
+
+
+@query("SELECT c_custkey, 'write to [EMAIL] or call [PHONE] on 252.204-7012 and ' || c_custkey AS text FROM customer")
+def redacted_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses and phone numbers go, section numbers and other numbers stay."""
+    return read_table(spark, d, "customer").select("c_custkey", C.redacted(F.expr(_CONTACT)).alias("text"))
+
+
+_WORDING = "CASE o_orderkey % 7 WHEN 0 THEN 'this is Controlled Unclassified Information' WHEN 1 THEN 'FOR OFFICIAL USE ONLY' WHEN 2 THEN 'DISTRIBUTION STATEMENT C applies' WHEN 3 THEN 'Proprietary and Source Selection Information' WHEN 4 THEN 'subject to ITAR and EAR99' WHEN 5 THEN 'distribution statement a' ELSE 'no marking' END"
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'CUI' WHEN 1 THEN 'FOUO' WHEN 2 THEN 'distribution_statement' WHEN 3 THEN 'proprietary,source_selection' WHEN 4 THEN 'export_control' ELSE '' END AS said, CASE o_orderkey % 7 WHEN 1 THEN 'FOUO' WHEN 2 THEN 'distribution_statement' ELSE '' END AS shown FROM orders")
+def markings_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Markings that a line mentions, and those it shows as a banner."""
+    t = F.expr(_WORDING)
+    return read_table(spark, d, "orders").select("o_orderkey", F.array_join(C.markings(t), ",").alias("said"), F.array_join(C.banner_markings(t), ",").alias("shown"))
+
+
+_ITEMS = {
+    "☒ (1) 52.203-6 Restrictions": ("⟦X⟧ (1) 52.203-6 Restrictions", None),
+    "☐ (2) 52.203-13 Code": ("⟦ ⟧ (2) 52.203-13 Code", None),
+    "✓ 52.209-6 Protecting": ("⟦X⟧ 52.209-6 Protecting", None),
+    "■ 52.219-6 Notice": ("⟦X⟧ 52.219-6 Notice", None),
+    "[X] (44) Option": ("⟦X⟧ (44) Option", "CHECKLIST_SELECTED"),
+    "__ (43) 52.222-3": ("__ (43) 52.222-3", "CHECKLIST_NOT_SELECTED"),
+    "( ) none": ("⟦ ⟧ none", None),
+    "a ■ in text": ("a ■ in text", None),
+}
+_ITEM_SQL = "CASE l_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ITEMS)) + " END"
+
+
+@query(f"SELECT t AS line, CASE t {' '.join(f"WHEN '{x}' THEN '{m}'" for x, (m, _) in _ITEMS.items())} END AS marked, CASE t {' '.join(f"WHEN '{x}' THEN '{s}'" for x, (_, s) in _ITEMS.items() if s)} END AS typed, count(*) AS n FROM (SELECT {_ITEM_SQL} AS t FROM lineitem) GROUP BY ALL")
+def boxes_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of text lines as markers, and the state of boxes typed as text."""
+    lines = read_table(spark, d, "lineitem").selectExpr(f"{_ITEM_SQL} AS line")
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).select("line", C.marked_line(F.col("line")).alias("marked"), B.typed_box(F.col("line")).alias("typed"), "n")
+
+
+_BLOCK = ("text", "text", "⟦X⟧ other", "__X__ (3)", "⟦?⟧ (i) item", "text")
+
+
+@query("SELECT o_orderkey AS page_id, k AS line_no, CASE WHEN k = 5 OR o_orderkey % 2 = 0 THEN 'SELECTED' ELSE 'NOT_SELECTED' END AS state FROM orders, (SELECT unnest([0, 1, 2, 5]) AS k)")
+def carried_block_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that the lines of a block, and items without a box of their own, take over."""
+    first = F.when(F.col("o_orderkey") % 2 == 0, "⟦X⟧ 27a. Clauses").otherwise("⟦ ⟧ 27b. Terms")
+    text = F.concat_ws("\n", first, *[F.lit(x) for x in _BLOCK])
+    pages = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), text.alias("text_layout"))
+    return D.S.carried_boxes(pages)
+
+
+@query("WITH o AS (SELECT DISTINCT concat('52.2', lpad(CAST(l_partkey % 50 AS VARCHAR), 2, '0'), '-', l_partkey % 60 + 100) AS number FROM lineitem) SELECT number, 'FAR' AS regulation, 'overlay_only' AS status, 'new' AS title, 'text' AS overlay_status FROM o UNION ALL SELECT '52.101-1', 'FAR', 'active', NULL, NULL")
+def overlay_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of an overlay that the registry lacks become rows of it, once."""
+    o = read_table(spark, d, "lineitem").selectExpr("concat('52.2', lpad(cast(l_partkey % 50 AS string), 2, '0'), '-', l_partkey % 60 + 100) AS number", "'text' AS status", "'new' AS title")
+    g = spark.range(1).selectExpr("'52.101-1' AS number", "'FAR' AS regulation", "'active' AS status", "cast(null AS string) AS title")
+    once = R.merge_overlay(g, o)
+    return R.merge_overlay(once.drop("overlay_status"), o)
+
+
 # ---- geometry: order lines as drawings
 
 _BOXES = "b AS (SELECT l_orderkey AS page_id, l_linenumber AS k, CAST(l_partkey % 60 AS DOUBLE) AS x, CAST(l_suppkey % 40 AS DOUBLE) AS y, CAST(l_quantity % 18 AS DOUBLE) AS w FROM lineitem), t AS (SELECT page_id, k AS line_no, x + 10 AS lx0, y AS ly0, y + 12 AS ly1 FROM b WHERE k % 2 = 0), f AS (SELECT page_id, k AS field, x + w AS x1, y AS y0, y + w AS y1 FROM b WHERE k % 2 = 1)"
