@@ -102,22 +102,50 @@ def capped_files(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
     return ordered.select("grp", "file", "bytes").mapInArrow(_greedy(max_files, max_bytes), f"grp {files.schema['grp'].dataType.simpleString()}, file string, bytes long, reason string")
 
 
+def _round_robin(target: int, cap: int):
+    """Rounds over the months, one notice a month and round; a notice whose department is
+    full is passed over for the month's next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        months: dict[str, list] = {}
+        for b in batches:
+            for ident, month, dept in zip(*(b.column(i).to_pylist() for i in range(3))):
+                months.setdefault(month, []).append((ident, dept))
+        queues = [iter(months[m]) for m in sorted(months)]
+        taken: dict = {}
+        chosen: list = []
+        while queues and len(chosen) < target:
+            left = []
+            for q in queues:
+                found = next((x for x in q if taken.get(x[1], 0) < cap), None)
+                if found is None:
+                    continue
+                left.append(q)
+                if len(chosen) < target:
+                    taken[found[1]] = taken.get(found[1], 0) + 1
+                    chosen.append(found[0])
+            queues = left
+        yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.string()), pa.array(range(len(chosen)), pa.int32())], names=["notice_id", "rank"])
+
+    return run
+
+
 def balanced_selection(notices: DataFrame, target: int, max_share: float, seed: int = 0) -> DataFrame:
     """``notice_id, month, department, rank, selected``: round-robin over months with a cap
-    on each department.
-
-    A round takes one notice of each month, in seeded order; a department keeps its
-    first ``max_share * target`` by round. Ranks are windows over month and department,
-    so no task holds all notices; the global order is by counts of rounds."""
+    on each department of ``max_share * target``.
+
+    A round takes one notice of each month in the order of a seeded hash; one whose
+    department is full is passed over. The rounds follow one another, so one task runs
+    them, over no more than the first ``max_share * target`` notices of each month and
+    department, which is all that rounds can take: its input is bounded by the target,
+    not by the notices."""
+    cap = int(max_share * target)
     key = F.xxhash64("notice_id", F.lit(seed))
-    turn = F.row_number().over(W.partitionBy("month").orderBy(key, "notice_id"))
-    rows = notices.select("notice_id", "month", "department").distinct().withColumn("turn", turn)
-    place = F.row_number().over(W.partitionBy("department").orderBy("turn", "month", "notice_id"))
-    allowed = rows.withColumn("allowed", place <= int(max_share * target))
-    months = allowed.where("allowed").groupBy("turn", "month").agg(F.count(F.lit(1)).alias("n"))
-    before = months.withColumn("rank", F.sum("n").over(W.orderBy("turn", "month").rowsBetween(W.unboundedPreceding, -1)))
-    ranked = allowed.join(before.select("turn", "month", F.coalesce("rank", F.lit(0)).alias("rank")), ["turn", "month"], "left")
-    return ranked.select("notice_id", "month", "department", F.when(F.col("allowed"), F.col("rank")).alias("rank"), (F.col("allowed") & (F.col("rank") < target)).alias("selected"))
+    rows = notices.select(F.col("notice_id").cast("string").alias("notice_id"), "month", "department").distinct()
+    near = rows.withColumn("_k", F.row_number().over(W.partitionBy("month", "department").orderBy(key, "notice_id"))).where(F.col("_k") <= cap)
+    ordered = near.withColumn("_h", key).repartition(1).sortWithinPartitions("month", "_h", "notice_id")
+    chosen = ordered.select("notice_id", "month", "department").mapInArrow(_round_robin(target, cap), "notice_id string, rank int")
+    return rows.join(chosen, "notice_id", "left").withColumn("selected", F.col("rank").isNotNull())
 
 
 def last_wins(journal: DataFrame, key: str, order: Column) -> DataFrame:

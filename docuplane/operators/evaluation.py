@@ -65,6 +65,29 @@ def bootstrap(counts: DataFrame, reps: int = 200, level: float = 0.95, systems:
     return s.select(f.alias("f")).agg(F.expr(f"percentile(f, {a})").alias("lo"), F.expr(f"percentile(f, {1 - a})").alias("hi"), F.avg((F.col("f") <= 0).cast("double")).alias("share_not_better"))
 
 
+#: Blocks of scores for running sums; as many numbers reach the driver.
+BLOCKS = 256
+
+
+def running(t: DataFrame, by: str, *sums: str, down: bool = False) -> DataFrame:
+    """``t`` with ``<c>_upto`` and ``<c>_all`` for each column: its sum up to and including the
+    row's place in the order of ``by``, and in all. ``by`` is unique.
+
+    Rows are cut at quantiles of ``by`` into blocks, summed in their block by a window,
+    and raised by what the blocks before them hold: no task sorts all rows, and only the
+    sums of ``BLOCKS`` blocks meet in one."""
+    cuts = t.agg(F.percentile_approx(by, [i / BLOCKS for i in range(1, BLOCKS)], 20 * BLOCKS)).first()[0] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    placed = t.withColumn("_b", F.size(F.filter(bounds, lambda c: c < F.col(by))))
+    block = placed.groupBy("_b").agg(*[F.sum(c).alias(c) for c in sums])
+    before = W.orderBy(F.col("_b").desc() if down else F.col("_b")).rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy(F.lit(0))
+    offsets = block.select("_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_off") for c in sums], *[F.sum(c).over(every).alias(f"{c}_all") for c in sums])
+    inside = W.partitionBy("_b").orderBy(F.col(by).desc() if down else F.col(by)).rowsBetween(W.unboundedPreceding, 0)
+    joined = placed.withColumns({f"{c}_upto": F.sum(c).over(inside) for c in sums}).join(F.broadcast(offsets), "_b")
+    return joined.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"{c}_off") for c in sums}).drop("_b", *[f"{c}_off" for c in sums])
+
+
 def calibration_error(rows: DataFrame, conf: str = "conf", correct: str = "correct", bins: int = 10) -> DataFrame:
     """Expected calibration error over bins of equal mass, the first ones larger by one.
 
@@ -72,9 +95,7 @@ def calibration_error(rows: DataFrame, conf: str = "conf", correct: str = "corre
     task; rows of one confidence that straddle a cut are shared out in proportion.
     """
     by = rows.groupBy(conf).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(correct).cast("double")).alias("c"))
-    upto = W.orderBy(conf).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(F.lit(0))
-    at = by.withColumns({"hi": F.sum("n").over(upto), "total": F.sum("n").over(every)}).withColumn("lo", F.col("hi") - F.col("n"))
+    at = running(by.where(F.col(conf).isNotNull()), conf, "n").withColumnsRenamed({"n_upto": "hi", "n_all": "total"}).withColumn("lo", F.col("hi") - F.col("n"))
     base, extra = F.expr(f"total div {bins}"), F.col("total") % bins
     cut = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).withColumns({"a": F.col("bin") * base + F.least(F.col("bin").cast("long"), extra), "b": (F.col("bin") + 1) * base + F.least((F.col("bin") + 1).cast("long"), extra)})
     share = F.greatest(F.lit(0), F.least("hi", "b") - F.greatest("lo", "a"))
@@ -97,9 +118,8 @@ def risk_coverage(rows: DataFrame, q: str = "q", y: str = "y") -> DataFrame:
     """``conf, coverage, risk`` at each distinct confidence, surest first."""
     conf = F.greatest(F.col(q), 1 - F.col(q))
     t = _by_score(rows, F.round(conf, 9), (F.col(q) >= 0.5) != F.col(y))
-    down = W.orderBy(F.col("s").desc()).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(F.lit(0))
-    return t.select(F.col("s").alias("conf"), (F.sum("n").over(down) / F.sum("n").over(every)).alias("coverage"), (F.sum("g").over(down) / F.sum("n").over(down)).alias("risk"), "n")
+    r = running(t.where("s IS NOT NULL"), "s", "n", "g", down=True)
+    return r.select(F.col("s").alias("conf"), (F.col("n_upto") / F.col("n_all")).alias("coverage"), (F.col("g_upto") / F.col("n_upto")).alias("risk"), "n")
 
 
 def coverage_threshold(rows: DataFrame, target: float = 0.98, q: str = "q", y: str = "y") -> DataFrame:
@@ -112,9 +132,7 @@ def coverage_threshold(rows: DataFrame, target: float = 0.98, q: str = "q", y: s
 def best_f1_threshold(rows: DataFrame, q: str = "q", y: str = "y") -> DataFrame:
     """The threshold of the largest F1; of equal ones the smallest."""
     t = _by_score(rows, F.col(q), F.col(y))
-    down = W.orderBy(F.col("s").desc()).rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("g").over(W.partitionBy(F.lit(0)))
-    at = t.select("s", F.sum("g").over(down).alias("tp"), F.sum("n").over(down).alias("pos"), total.alias("all"))
+    at = running(t.where("s IS NOT NULL"), "s", "n", "g", down=True).select("s", F.col("g_upto").alias("tp"), F.col("n_upto").alias("pos"), F.col("g_all").alias("all"))
     f1 = F.round(f_score(F.col("tp"), F.col("pos") - F.col("tp"), F.col("all") - F.col("tp")), 12)
     best = at.select("s", f1.alias("f1")).agg(F.max_by(F.struct("s", "f1"), F.struct("f1", (-F.col("s")).alias("o"))).alias("b")).where("b IS NOT NULL")
     return best.select(F.col("b.s").alias("threshold"), F.col("b.f1").alias("f1"))
@@ -123,16 +141,15 @@ def best_f1_threshold(rows: DataFrame, q: str = "q", y: str = "y") -> DataFrame:
 def roc_auc(rows: DataFrame, q: str = "q", y: str = "y") -> DataFrame:
     """The chance that a positive scores above a negative, ties half; by counts of distinct scores."""
     t = _by_score(rows, F.col(q), F.col(y)).withColumn("b", F.col("n") - F.col("g"))
-    below = F.coalesce(F.sum("b").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return t.select("g", "b", below.alias("below")).agg((F.sum(F.col("g") * (F.col("below") + F.col("b") / 2.0)) / (F.sum("g") * F.sum("b")).cast("double")).alias("auc"))
+    r = running(t.where("s IS NOT NULL"), "s", "b")
+    return r.select("g", "b", (F.col("b_upto") - F.col("b")).alias("below")).agg((F.sum(F.col("g") * (F.col("below") + F.col("b") / 2.0)) / (F.sum("g") * F.sum("b")).cast("double")).alias("auc"))
 
 
 def specificity_at_recall(rows: DataFrame, recall: float = 0.95, q: str = "q", y: str = "y") -> DataFrame:
     """Specificity at the largest threshold whose recall reaches the target."""
     t = _by_score(rows, F.col(q), F.col(y)).withColumn("b", F.col("n") - F.col("g"))
-    down = W.orderBy(F.col("s").desc()).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(F.lit(0))
-    at = t.select("s", (F.sum("g").over(down) / F.sum("g").over(every)).alias("r"), (1 - F.sum("b").over(down) / F.sum("b").over(every)).alias("specificity"))
+    r = running(t.where("s IS NOT NULL"), "s", "g", "b", down=True)
+    at = r.select("s", (F.col("g_upto") / F.col("g_all")).alias("r"), (1 - F.col("b_upto") / F.col("b_all")).alias("specificity"))
     return at.where(F.col("r") >= recall).agg(F.max_by("specificity", "s").alias("specificity"), F.max("s").alias("threshold"))
 
 
