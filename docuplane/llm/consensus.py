@@ -11,6 +11,7 @@ never gathered, and only one number, the largest change, reaches the driver.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,7 +62,8 @@ def weighted_consensus(votes: DataFrame, labels: tuple[str, ...], *, smoothing:
     first in ``labels``. ``reliability`` is the smoothed leave-one-out accuracy;
     ``chance_corrected`` of an item is its pairwise agreement above the agreement
     expected by chance over all pairable votes (nominal alpha, which takes missing
-    ratings), null where it has one vote. No votes give two empty tables.
+    ratings), null where it has one vote. No votes give two empty tables. A warning tells
+    if reliabilities had not settled within ``max_rounds``.
     """
     k = len(labels)
     n = F.count(F.lit(1)).over(W.partitionBy("item"))
@@ -101,6 +103,8 @@ def weighted_consensus(votes: DataFrame, labels: tuple[str, ...], *, smoothing:
         people = people.drop("_before")
         if change is None or change < tolerance:
             break
+    else:
+        warnings.warn(f"reliabilities still changed by {change:.2g} after {max_rounds} rounds", RuntimeWarning, stacklevel=2)
     whole = _scores(votes, people, labels)
     item_votes = whole.groupBy("item").agg(
         *[F.first(f"_s{i}").alias(f"_s{i}") for i in range(k)],
