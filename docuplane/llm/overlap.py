@@ -7,12 +7,17 @@ make a record's overlap fraction.
 
 Frequent chunks (boilerplate) would pair everything with everything. The index
 therefore takes a record's chunks from the rarest on, and leaves out the most frequent
-ones as long as their total length stays below ``min_overlap`` of the record: of all
-chunks two records share the first in that order is then in the index of both, so no
-pair that reaches the fraction is lost. The same holds for any order that all records
-share; the better it knows what is frequent, the fewer pairs are proposed. The order
-comes from counts of all records' chunks in ``SLOTS`` slots, a sketch whose
-size does not depend on the data and which needs no shuffle of digests.
+ones as long as their total length stays below ``LEFT_OUT`` of what ``min_overlap``
+asks of the record. What two records share in words beyond the left-out ones of either
+is then in the index of both: a pair that reaches the fraction shares there at least
+the words asked for less those left out. The lengths of a pair's common index chunks
+are summed and held against that, and only pairs that pass are measured over all their
+chunks; no pair that reaches the fraction is lost. In a large collection most pairs
+that meet have one chunk in common by chance, and go no further than this sum. All this
+holds for any order that all records share; the better it knows what is frequent, the
+fewer pairs meet. The order comes from counts of all records' chunks in ``SLOTS``
+slots, a sketch whose size does not depend on the data and which needs no shuffle of
+digests.
 
 Scattered edits can break most chunks of a short pair whose word runs are still mostly
 the same. With a ``signature`` the operator therefore takes, besides, the pairs that a
@@ -22,6 +27,7 @@ the chunks like any other's. A pair is then missed only if both indexes miss it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,13 +38,15 @@ from pyspark.sql import functions as F
 
 from docuplane.llm.neardup import Signature, signature_pairs, signature_symbols
 from docuplane.llm.shingles import WordHashes, mixed, run_hashes, word_hashes
-from docuplane.session import stage_table
+from docuplane.session import shuffles_dropped, stage_table
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Slots of the count sketch, whatever the data: 4 MB once merged.
 SLOTS = 1 << 22
 _BLOCK = 1 << 16
+#: Nearer to 1, fewer pairs meet and more of them must be measured.
+LEFT_OUT = 0.8
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -133,21 +141,31 @@ def _rarest_first(digests: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.lexsort((digests, levels[_slots(digests.view(np.uint64))]))
 
 
+INDEX = "digest long, id long, side int, length int, need int"
+
+
 def _chunk_index(min_overlap: float, mutual: bool, levels):
-    """A record's chunks without the most frequent ones, of below ``min_overlap`` of it in all."""
+    """A record's chunks without the most frequent ones, and the words that a partner that
+    reaches the fraction shares with it in these at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sides, ns = (batch.column(i).to_pylist() for i in range(3))
-            keys: list[np.ndarray] = []
+            keys: list[np.ndarray] = [np.empty(0, np.int64)]
+            sizes: list[np.ndarray] = [np.empty(0, np.int32)]
+            needs = []
             for side, n, digests, lengths in zip(sides, ns, batch.column(3), batch.column(4)):
                 d, length = (np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in (digests, lengths))
                 order = _rarest_first(d, levels.value)
+                least = math.ceil(min_overlap * n - 1e-6)
                 rest = np.cumsum(length[order][::-1])[::-1]
-                keys.append(d[order] if side == 1 and not mutual else d[order][rest >= min_overlap * n])
-            n = np.array([len(k) for k in keys], np.int64)
-            digest = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(np.array(sides, np.int32), n))], names=["digest", "id", "side"])
+                kept = order if side & 1 and not mutual else order[rest >= LEFT_OUT * least]
+                keys.append(d[kept])
+                sizes.append(length[kept])
+                needs.append(least - n + int(length[kept].sum()))
+            n = np.array([len(k) for k in keys[1:]], np.int64)
+            columns = np.concatenate(keys), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(sides, np.int32), n), np.concatenate(sizes).astype(np.int32), np.repeat(np.array(needs, np.int32), n)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "id", "side", "length", "need"])
 
     return run
 
@@ -172,12 +190,15 @@ class Overlaps:
     pairs: DataFrame
 
 
-def _across(index: DataFrame) -> DataFrame:
-    """``id_a, id_b`` of both sides that meet in a digest. The one index is shuffled once: what
-    a side is, is asked of both rows together, so that no filter makes two plans of it."""
-    a, b = (index.select("digest", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "side")]) for x in "ab")
+def _across(index: DataFrame, mutual: bool) -> DataFrame:
+    """``id_a, id_b`` of both sides whose common chunks in the index add up to what they need.
+    The one index is shuffled once: what a side is, is asked of both rows together, so that no
+    filter makes two plans of it. Nothing but numbers goes with a pair that meets."""
+    a, b = (index.select("digest", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "side", "length", "need")]) for x in "ab")
     sides = F.col("side_a").bitwiseAND(F.lit(1)) + F.col("side_b").bitwiseAND(F.lit(2))
-    return a.join(b, "digest").where((sides == 3) & (F.col("id_a") != F.col("id_b"))).select("id_a", "id_b").distinct()
+    met = a.join(b, "digest").where((sides == 3) & (F.col("id_a") != F.col("id_b")))
+    summed = met.groupBy("id_a", "id_b", "need_a", "need_b").agg(F.sum("length_a").alias("in_a"), F.sum("length_b").alias("in_b"))
+    return summed.where((F.col("in_b") >= F.col("need_b")) & ((F.col("in_a") >= F.col("need_a")) | F.lit(not mutual))).select("id_a", "id_b")
 
 
 def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "id", text_col: str = "text", min_overlap: float = 0.2, mutual: bool = True, mask: int = 3, shortest: int = 3, min_words: int = 1, signature: Signature | None = None, threshold: float = 0.6) -> Overlaps:
@@ -196,19 +217,21 @@ def cross_split_overlap(records: DataFrame, sides: DataFrame, *, id_col: str = "
     spark = records.sparkSession
     placed = sides.select(F.col("id").cast("long").alias("id"), "side").where(F.col("side").isin("a", "b")).distinct()
     texts = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    written = stage_table(texts.mapInArrow(_chunks(mask, shortest, min_words, signature), CHUNKS), "chunks")
-    levels = spark.sparkContext.broadcast(slot_levels(written))
-    table = written.where("block IS NULL").select("id", "print", "n_words", "digests", "lengths", "sig")
-    prints = placed.join(table.select("id", "print"), "id")
-    classes = prints.groupBy("print").agg(F.min("id").alias("rep"))
-    members = stage_table(prints.join(classes, "print").select("id", "rep", "side"), "members")
-    on = members.groupBy(F.col("rep").alias("id")).agg(F.bit_or(F.when(F.col("side") == "a", 1).otherwise(2)).alias("side"))
-    chunks = on.join(table, "id").select("id", "side", "n_words", "digests", "lengths").mapInArrow(_chunk_index(min_overlap, mutual, levels), "digest long, id long, side int")
-    met = _across(chunks).withColumn("by_signature", F.lit(False))
-    if signature:
-        signed = on.join(table, "id").select(F.col("id").alias("rep"), "sig", "side")
-        alike = signature_pairs(signed, signature, threshold).withColumn("by_signature", F.lit(True))
-        met = met.unionByName(alike).groupBy("id_a", "id_b").agg(F.bool_or("by_signature").alias("by_signature"))
+    # each step leaves a table of pairs or of records; what it shuffled is gone before the next
+    with shuffles_dropped(spark):
+        written = stage_table(texts.mapInArrow(_chunks(mask, shortest, min_words, signature), CHUNKS), "chunks")
+        levels = spark.sparkContext.broadcast(slot_levels(written))
+        table = written.where("block IS NULL").select("id", "print", "n_words", "digests", "lengths", "sig")
+        prints = placed.join(table.select("id", "print"), "id")
+        classes = prints.groupBy("print").agg(F.min("id").alias("rep"))
+        members = stage_table(prints.join(classes, "print").select("id", "rep", "side"), "members")
+        on = members.groupBy(F.col("rep").alias("id")).agg(F.bit_or(F.when(F.col("side") == "a", 1).otherwise(2)).alias("side"))
+        chunks = on.join(table, "id").select("id", "side", "n_words", "digests", "lengths").mapInArrow(_chunk_index(min_overlap, mutual, levels), INDEX)
+        met = stage_table(_across(chunks, mutual), "met").withColumn("by_signature", F.lit(False))
+        if signature:
+            signed = on.join(table, "id").select(F.col("id").alias("rep"), "sig", "side")
+            alike = stage_table(signature_pairs(signed, signature, threshold), "alike").withColumn("by_signature", F.lit(True))
+            met = met.unionByName(alike).groupBy("id_a", "id_b").agg(F.bool_or("by_signature").alias("by_signature"))
     ca, cb = (table.select(*[F.col(x).alias(f"{x}_{s}") for x in ("id", "n_words", "digests", "lengths")]) for s in "ab")
     both = met.join(ca, "id_a").join(cb, "id_b").select("id_a", "id_b", "by_signature", *[f"{x}_{s}" for s in "ab" for x in ("n_words", "digests", "lengths")])
     shared = both.mapInArrow(_fractions, "rep_a long, rep_b long, by_signature boolean, overlap_a double, overlap_b double")

@@ -10,7 +10,7 @@ from docuplane.llm.neardup import NearDuplicates, Signature, all_pairs, group_id
 from docuplane.llm.overlap import cross_split_overlap, member_pairs
 from docuplane.llm.pagenoise import page_defects, repaired_pages
 from docuplane.llm.shingles import exact_jaccard
-from docuplane.session import read_table, stage_table
+from docuplane.session import read_table, shuffles_dropped, stage_table
 
 #: Three-word runs and 0.6, as the problem states them.
 PAGE_SHAPE = Signature(width=3, min_words=30)
@@ -46,7 +46,8 @@ def leaked_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = read_table(spark, d, "page_texts")
     sides = split_pages(pages, read_table(spark, d, "doc_splits")).select(F.col("page_id").alias("id"), "side")
     found = cross_split_overlap(pages, sides, id_col="page_id", text_col="text_plain", min_overlap=0.2, min_words=PAGE_SHAPE.min_words, signature=PAGE_SHAPE, threshold=PAGE_THRESHOLD)
-    pairs = stage_table(found.pairs, "overlaps")
+    with shuffles_dropped(spark):
+        pairs = stage_table(found.pairs, "overlaps")
     differ = pairs.where("rep_a <> rep_b").select(F.col("rep_a").alias("id_a"), F.col("rep_b").alias("id_b"))
     close = exact_jaccard(differ, pages.select(F.col("page_id").alias("id"), F.col("text_plain").alias("text")), PAGE_SHAPE.width).where(F.col("jaccard") >= PAGE_THRESHOLD)
     near = pairs.join(close.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b")), ["rep_a", "rep_b"], "left_semi")

@@ -1,15 +1,18 @@
 """Near-duplicates, cross-split overlap and page repair on small collections."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from docuplane.llm import overlap
 from docuplane.llm.neardup import Signature, all_pairs, group_ids, near_duplicates
 from docuplane.llm.overlap import chunk_record, cross_split_overlap, member_pairs
 from docuplane.llm.page_queries import p5_found
 from docuplane.llm.pagenoise import Lexicon, confusions, header_key, line_defects, page_defects, paragraph_breaks, repaired_page, repaired_pages
 from docuplane.llm.shingles import WordHashes, jaccard, run_hashes, word_hashes
+from docuplane.session import shuffles_dropped, stage_table
 
 PAGE = "page_id long, doc_id string, page int, text_plain string, text_layout string, id string, sig string"
 
@@ -121,6 +124,46 @@ def test_scattered_edits_across_splits(spark, tmp_path):
     assert want - {(min(x), max(x)) for x in gate.pairs.select("rep_a", "rep_b").collect()}
 
 
+def test_chance_meetings_are_not_measured(spark, monkeypatch):
+    r = random.Random(21)
+    known = WordHashes()
+    pool = [[f"s{k}w{r.randrange(60)}" for _ in range(9)] for k in range(700)]
+    # a fifth of a text is boilerplate, of the rest each sentence is in a few texts
+    texts = [" ".join(w for k in r.sample(range(12), 1 + n // 6) + r.sample(range(12, 700), n) for w in pool[k]) for n in r.choices((5, 22, 26), k=121)]
+    texts += [" ".join(t.split()[:120] + [f"own{i}x{j}" for j in range(r.choice((60, 200, 470)))]) for i, t in enumerate(texts[:30])]
+    chunks = [dict(zip(*(x.tolist() for x in chunk_record(word_hashes(t, known))))) for t in texts]
+    size = [len(t.split()) for t in texts]
+    sides = [(i, "ab"[i % 2]) for i in range(len(texts))] + [(i, "ab"[(i + 1) % 2]) for i in range(0, len(texts), 5)]
+    records, placed = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(sides, "id long, side string")
+    staged = {}
+    monkeypatch.setattr(overlap, "stage_table", lambda df, name: staged.setdefault(name, stage_table(df, name)))
+    across = [(a, b, chunks[a].keys() & chunks[b].keys()) for a, x in sides if x == "a" for b, y in sides if y == "b" and a != b]
+    for mutual in (True, False):
+        staged.clear()
+        got = cross_split_overlap(records, placed, min_overlap=0.2, mutual=mutual)
+        want = {(a, b) for a, b, c in across if sum(chunks[b][x] for x in c) >= 0.2 * size[b] and (not mutual or sum(chunks[a][x] for x in c) >= 0.2 * size[a])}
+        assert {(x["id_a"], x["id_b"]) for x in member_pairs(got, got.pairs).collect()} == want and len(want) > 20
+        assert staged["met"].count() < 3 * len(want)
+
+
+def test_shuffles_of_a_stage_are_dropped(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(setting, None)
+    with shuffles_dropped(spark):
+        kept = stage_table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "kept")
+    until = time.monotonic() + 20
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(setting, None) == was
+    assert kept.count() == 7
+
+
 def test_no_records(spark):
     empty = spark.createDataFrame([], "id long, text string")
     assert cross_split_overlap(empty, spark.createDataFrame([], "id long, side string")).pairs.count() == 0
